@@ -2,9 +2,9 @@
 
 Each source gets a target number of words; each document of the source gets the same expected number of copies,
 target / source size. Its whole part is taken as it is. The fractional parts are rounded by the
-pivotal method: two open documents trade mass, counted in words so that the source's total stays put,
-until one of them has a whole number of copies; which of the two is random, and the expected copies
-of each stay as they were. Groups of documents of a source are rounded on their own; the one
+pivotal method: an open document trades mass with another, or with the pool of all smaller ones, counted in words so
+that the source's total stays put, until one side has whole numbers of copies; which side is random, and
+the expected copies of each stay as they were. Groups of documents of a source are rounded on their own; the one
 document that each leaves open goes up a reduction tree of fixed fan-in. The last open document of a source
 takes the whole number of copies nearer to its fraction, so a source misses its target by half of one
 document at most.
@@ -60,30 +60,57 @@ def _rounding(last: bool, seed: int, level: int) -> Callable[[tuple, pd.DataFram
     return lambda key, rows: _round_group(key, rows, last, seed, level)
 
 
-def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: int) -> pd.DataFrame:
-    """Trades words between neighbours in size until one document at most is open."""
-    rows = rows.sort_values(["size", "id", "digest"], kind="stable", ignore_index=True)
-    p, size = rows["p"].to_numpy(copy=True), rows["unit"].to_numpy(dtype=float)
-    draw = np.random.default_rng([seed, level, int(key[1]), *map(ord, str(key[0])[:64])]).random(len(rows))
+def _whole(p: float) -> float:
+    return float(round(p)) if p < 1e-9 or p > 1 - 1e-9 else p
+
+
+def _against_smaller(p: float, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Rounds documents of equal fraction p, largest first: each trades with the pool of all smaller ones.
+
+    A trade ends when the document or the whole pool is integral, so what stays open is small where it can be.
+    """
+    out, rest = np.zeros(len(size)), np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
+    for i in range(len(size)):
+        pool = p * rest[i]
+        up, down = min((1 - p) * size[i], pool), min(p * size[i], rest[i] - pool)
+        if up + down <= 0:
+            out[i] = p
+            return out
+        move = up if draw[i] * (up + down) < down else -down
+        out[i] = _whole(p + move / size[i])
+        p = _whole((pool - move) / rest[i])
+        if p in (0.0, 1.0):
+            out[i + 1 :] = p
+            return out
+    return out
+
+
+def _in_pairs(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Rounds documents of any fractions: the open one trades with the next, largest first."""
     held = -1
-    for i in range(len(rows)):
-        if p[i] <= 0 or p[i] >= 1:
+    for b in range(len(p)):
+        a = held
+        if a < 0:
+            held = b
             continue
-        if held < 0:
-            held = i
-            continue
-        a, b = held, i
         up = min((1 - p[a]) * size[a], p[b] * size[b])  # words from b to a
         down = min(p[a] * size[a], (1 - p[b]) * size[b])
-        move = up if draw[i] * (up + down) < down else -down
-        p[a] += move / size[a]
-        p[b] -= move / size[b]
-        for k in (a, b):
-            if p[k] < 1e-9 or p[k] > 1 - 1e-9:
-                p[k] = round(p[k])
+        move = up if draw[b] * (up + down) < down else -down
+        p[a], p[b] = _whole(p[a] + move / size[a]), _whole(p[b] - move / size[b])
         held = a if 0 < p[a] < 1 else b if 0 < p[b] < 1 else -1
-    if last and held >= 0:
-        p[held] = float(p[held] >= 0.5)
+    return p
+
+
+def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: int) -> pd.DataFrame:
+    """Trades words inside a group until one document at most is open."""
+    rows = rows.sort_values(["unit", "id", "digest"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    p, at = rows["p"].to_numpy(copy=True), np.flatnonzero(rows["open"].to_numpy())
+    draw = np.random.default_rng([seed, level, int(key[1]), *map(ord, str(key[0])[:64])]).random(len(at))
+    size, own = rows["unit"].to_numpy(dtype=float)[at], p[at]
+    if len(at):
+        p[at] = _against_smaller(own[0], size, draw) if (own == own[0]).all() else _in_pairs(own, size, draw)
+    if last:
+        p = np.round(p)
     rows["p"] = p
     rows["open"] = (p > 0) & (p < 1)
     return rows
