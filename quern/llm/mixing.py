@@ -6,8 +6,8 @@ pivotal method: an open document trades mass with another, or with the pool of a
 that the source's total stays put, until one side has whole numbers of copies; which side is random, and
 the expected copies of each stay as they were. Groups of documents of a source are rounded on their own; the one
 document that each leaves open goes up a reduction tree of fixed fan-in. The last open document of a source
-takes the whole number of copies nearer to its fraction, so a source misses its target by half of one
-document at most.
+takes the whole number of copies nearer to its fraction, and what that misses is traded among
+smaller documents in the same way, so a source misses its target by half of one document at most.
 
 Defined cases. Null or empty text: size 0, never taken. Null source: a source of its own, last in order. Rows
 that agree in doc_id, source and text get the same number of copies. Nothing depends on the order or partitioning of
@@ -109,8 +109,15 @@ def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: i
     size, own = rows["unit"].to_numpy(dtype=float)[at], p[at]
     if len(at):
         p[at] = _against_smaller(own[0], size, draw) if (own == own[0]).all() else _in_pairs(own, size, draw)
-    if last:
-        p = np.round(p)
+    while last and ((p > 0) & (p < 1)).any():  # what the last one can't give goes to smaller ones
+        k = int(np.flatnonzero((p > 0) & (p < 1))[0])
+        kept = float(p[k] >= 0.5)
+        missing, p[k] = (p[k] - kept) * rows["unit"][k], kept
+        at = np.flatnonzero(rows["open"].to_numpy() & (np.arange(len(p)) > k) & (p == (missing < 0)))
+        size = rows["unit"].to_numpy(dtype=float)[at]
+        if size.sum() > abs(missing):
+            share = abs(missing) / size.sum()
+            p[at] = _against_smaller(share if missing > 0 else 1 - share, size, draw[: len(at)])
     rows["p"] = p
     rows["open"] = (p > 0) & (p < 1)
     return rows
