@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from quern.llm.common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.warc import read_bundles, write_bundles
+
+    return read_bundles(write_bundles(table(spark, sf_dir, "pages")))
+
+
+OP4_SQL = """
+with p as (
+  select page_id, sha1(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n from pages
+), g as (
+  select d, max(page_id) as kept from p where n >= 1000 group by d
+)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+  case when g.kept is not null and p.page_id is distinct from g.kept then 'revisit' else 'response' end as record_type,
+  case when g.kept is not null and p.page_id is distinct from g.kept then g.kept end as refers_to
+from p left join g on g.d = p.d and p.n >= 1000
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import copies
 
@@ -23,5 +48,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(files, dictionary)
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_token_files": op10_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_warc": op4_warc, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op10_token_files": op10_token_files}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
