@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from quern.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language import identify, remainder, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, remainder(F.col("doc_id")) != 0)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.warc import read_bundles, write_bundles
 
@@ -155,6 +170,8 @@ from numbered p left join hits h on h.rid = p.rid and h.r = 1
 """
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op3_licenses": op3_licenses,
     "op4_warc": op4_warc,
     "op5_vector_near_duplicates": op5_vector_near_duplicates,
     "op6_top_k": op6_top_k,
