@@ -36,6 +36,7 @@ _HEAD = struct.Struct("<8sII32sQ")
 _MAGIC = b"QTOK0001"
 #: Documents that the dictionary is trained on at most, characters of each, and its bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 4000, 65_536
+LEVEL = 1
 #: Bytes of frames and documents after which a file is closed.
 FILE_BYTES, FILE_DOCS = 8 << 20, 20_000
 FILES = "part int, file int, first_id long, n_docs int, n_ids long, content binary"
@@ -58,7 +59,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     own = encoder(path)
     samples = [serialized(x, own.wide) for x in own.encode([r["text"] or "" for r in rows]) if x]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -70,7 +71,9 @@ class FileWriter:
         import zstandard
 
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self._compress = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=True).compress
+        if data:
+            data.precompute_compress(level=LEVEL)
+        self._compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True).compress
         self._hash, self._wide = hashlib.sha256(dictionary).digest(), wide
         self.before = self._files = 0
         self._clear()

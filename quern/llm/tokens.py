@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 
@@ -31,7 +31,7 @@ class WordEncoder:
     text. Other tokenizers encode each text directly.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -80,26 +80,27 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        known, plain, rest = self._known, [], []
+        known, rest = self._known, []
         merge, spell = self._model.tokenize, self._bytes
         for word in words:
             stem = word.rstrip(_TAIL)
-            tail = word[len(stem) :]
-            if stem.isalpha() and max(stem) < _LATIN:
-                stem = stem.lower()
-                if stem not in known:
-                    ids = [t.id for t in merge(stem if stem.isascii() else stem.translate(spell))]
-                    known[stem] = pack(f"<{len(ids)}I", *ids)
-                plain.append((word, stem, tail))
-            else:
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < _LATIN):
                 rest.append(word)
-        tails = {tail for _, _, tail in plain if tail}
-        self._ask([x for x in tails.union(rest).difference(known) if _MARK not in x])
+                continue
+            low = stem.lower()
+            ids = known.get(low)
+            if ids is None:
+                ids = known[low] = array("I", [t.id for t in merge(low if low.isascii() else low.translate(spell))]).tobytes()
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                if tail not in known:
+                    self._ask([tail])
+                ids += known[tail]
+            known[word] = ids
+        self._ask([x for x in rest if _MARK not in x])
         for x in rest:
             if _MARK in x:
                 known[x] = np.array(self._tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for word, stem, tail in plain:
-            known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def _ask(self, words: list[str]) -> None:
         glue = f" {_MARK} "
