@@ -6,8 +6,8 @@ pivotal method: an open document trades mass with another, or with the pool of a
 that the source's total stays put, until one side has whole numbers of copies; which side is random, and
 the expected copies of each stay as they were. Groups of documents of a source are rounded on their own; the one
 document that each leaves open goes up a reduction tree of fixed fan-in. The last open document of a source
-takes the whole number of copies nearer to its fraction, and what that misses is traded among
-smaller documents in the same way, so a source misses its target by half of one document at most.
+takes a whole number of copies, the nearer one or that whose miss smaller documents can make up by trading in the same
+way, so a source misses its target by less than one document.
 
 Defined cases. Null or empty text: size 0, never taken. Null source: a source of its own, last in order. Rows
 that agree in doc_id, source and text get the same number of copies. Nothing depends on the order or partitioning of
@@ -30,6 +30,8 @@ from quern.llm.common import WORD, key_of, stored
 GROUP, FAN_IN = 8192, 64
 #: Sources whose totals the driver may hold; more are an error.
 MAX_SOURCES = 1_000_000
+#: Sources up to which their table is broadcast.
+SMALL = 50_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float], ratio: float, cap: float) -> list[float]:
@@ -111,11 +113,14 @@ def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: i
         p[at] = _against_smaller(own[0], size, draw) if (own == own[0]).all() else _in_pairs(own, size, draw)
     while last and ((p > 0) & (p < 1)).any():  # what the last one can't give goes to smaller ones
         k = int(np.flatnonzero((p > 0) & (p < 1))[0])
-        kept = float(p[k] >= 0.5)
-        missing, p[k] = (p[k] - kept) * rows["unit"][k], kept
-        at = np.flatnonzero(rows["open"].to_numpy() & (np.arange(len(p)) > k) & (p == (missing < 0)))
-        size = rows["unit"].to_numpy(dtype=float)[at]
-        if size.sum() > abs(missing):
+        ways = []
+        for kept in (0.0, 1.0):
+            missing = (p[k] - kept) * rows["unit"][k]
+            at = np.flatnonzero(rows["open"].to_numpy() & (np.arange(len(p)) > k) & (p == (missing < 0)))
+            size = rows["unit"].to_numpy(dtype=float)[at]
+            ways.append((size.sum() <= abs(missing), abs(missing), kept, missing, at, size))
+        short, _, p[k], missing, at, size = min(ways, key=lambda x: x[:3])
+        if not short:
             share = abs(missing) / size.sum()
             p[at] = _against_smaller(share if missing > 0 else 1 - share, size, draw[: len(at)])
     rows["p"] = p
@@ -152,6 +157,8 @@ def copies(
     groups = max([1, *(x[3] for x in plan)])
     table = spark.createDataFrame(plan, "source_key string, source_size long, target double, groups long")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    if len(plan) <= SMALL:
+        table = F.broadcast(table)
     rows = (
         units.join(table, "source_key")
         .withColumn("id", F.coalesce("doc_id", F.lit(0)))  # pandas would make floats of ids beside nulls
