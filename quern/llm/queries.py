@@ -17,6 +17,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.neardup_text import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.licenses import scan_licenses
 
@@ -171,6 +177,7 @@ from numbered p left join hits h on h.rid = p.rid and h.r = 1
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_similar_documents": op2_similar_documents,
     "op3_licenses": op3_licenses,
     "op4_warc": op4_warc,
     "op5_vector_near_duplicates": op5_vector_near_duplicates,
