@@ -1,23 +1,54 @@
-"""The corpus pipeline: language ID, near-duplicate removal, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicate removal, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.common import stored
+from quern.llm.language import UNKNOWN, identify, remainder, train
 from quern.llm.mixing import mix
+from quern.llm.neardup_text import without_near_duplicates
+from quern.llm.packing import pack
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Posterior of the likeliest language under which a text has no one language; with two alike it is a half.
+LEAST_SCORE = 0.5
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: texts without a letter, or of no one language, go; lang becomes the language found."""
+    found = identify(docs.select(*COLUMNS), train(docs, remainder(F.col("doc_id")) != 0))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: one document of each group of near-duplicates stays."""
+    return without_near_duplicates(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: each document as often as the source's target asks."""
-    return mix(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    """Operator 8: each document as often as its source's target asks."""
+    return mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: pieces of sequences, with their ids."""
+    return pack(docs, with_ids=True)
 
 
-STAGES = [("mixing", mixed)]
+STAGES = [("language ID", identified), ("near-duplicates", deduplicated), ("mixing", mixed), ("packing", packed)]
+#: No stage but the first two has rows that SQL can express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

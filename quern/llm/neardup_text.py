@@ -44,14 +44,15 @@ BLOCK_CHUNK, CLASS_CHUNK, CLASS_BYTES = 8192, 4096, 16 << 20
 PICKED = 2_000_000
 
 
-def _sketches(percent: int):
+def _sketches():
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "digest", "keys", "vec"]
+        names = ["doc_id", "text_hash", "n", "digest", "keys", "vec"]
         for batch in batches:
             for piece in slices(batch, 1024):
-                sets = grouped_sets(piece.column(1).to_pylist())
+                sets = grouped_sets(piece.column(2).to_pylist())
                 cols = [
                     piece.column(0),
+                    piece.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
@@ -168,10 +169,29 @@ def _paired(rows: DataFrame, key: str, chunks: str) -> DataFrame:
 
 def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
+    return _grouped(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, of each group that which has the smallest doc_id (ties: smallest text hash); rows without words all stay."""
+    found = stored(_grouped(docs, percent), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")
+    kept = found.where("component is not null").groupBy("component").agg(first)
+    kept = kept.select("k.doc_id", "k.text_hash").withColumn("_once", F.lit(True))
+    kept = kept.union(found.where("component is null").select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False)))
+    kept = kept.select(F.struct("doc_id", "text_hash").alias("_kept"), "_once")
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    joined = keyed.join(kept, keyed["_key"].eqNullSafe(kept["_kept"])).drop("_kept")
+    once = joined.where("_once").dropDuplicates(["_key"])
+    return once.union(joined.where("not _once")).drop("_key", "_once")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, component (null without words), component_id."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(texts.mapInArrow(_sketches(percent), "doc_id long, n long, digest binary, keys array<long>, vec binary"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = stored(texts.mapInArrow(_sketches(), "doc_id long, text_hash long, n long, digest binary, keys array<long>, vec binary"), "sketches")
     units = stored(
         rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "keys", "vec")).alias("s"))
         .select("digest", "least", "s.*"),
@@ -209,7 +229,7 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
                 own = batch.column(0)
                 batch = batch.filter(pa.array(np.isin(own.fill_null(0).to_numpy(), ids) | own.is_null().to_numpy(zero_copy_only=False)))
             for piece in slices(batch, 1024):
-                sets = [s for s in grouped_sets(piece.column(1).to_pylist()) if len(s)]
+                sets = [s for s in grouped_sets(piece.column(2).to_pylist()) if len(s)]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "tokens"])
 
@@ -220,8 +240,7 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = components(links).withColumnRenamed("id", "digest")
     member = stored(units.select("digest", "least").join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "members")
     least = stored(member.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    each = stored(member.join(least, "component").select("digest", "component_id"), "each")
-    joined = rows.select("doc_id", "n", "digest").join(each, "digest", "left")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    each = stored(member.join(least, "component").select("digest", "component", "component_id"), "each")
+    joined = rows.select("doc_id", "text_hash", "n", "digest").join(each, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "text_hash", "n", "component", component.alias("component_id"))
