@@ -35,13 +35,13 @@ class _Reader:
         self.at += 1
         return "".join(out)
 
-    def bare(self, stops: str) -> str:
+    def bare(self, stops: str, opens: str) -> str:
         out = []
         while (c := self.peek()) not in stops:
             if c == "\\":
                 self.at += 1
                 c = self.peek()
-            elif c in '"{(':
+            elif c in ('"', opens):
                 raise self.fail()
             out.append(c)
             self.at += 1
@@ -73,7 +73,7 @@ def _array(reader: _Reader) -> list:
         elif reader.peek() == '"':
             out.append(reader.quoted())
         else:
-            item = reader.bare(",}").strip()
+            item = reader.bare(",}", "{").strip()
             out.append(None if item.upper() == "NULL" else item)
         if reader.peek() not in ",}":
             raise reader.fail()
@@ -103,7 +103,7 @@ def _row(reader: _Reader) -> list:
         elif reader.peek() == "(":
             out.append(_row(reader))
         else:
-            out.append(reader.bare(",)") or None)
+            out.append(reader.bare(",)", "(") or None)
         if reader.peek() not in ",)":
             raise reader.fail()
         end = reader.peek() == ")"

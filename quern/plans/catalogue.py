@@ -815,3 +815,44 @@ def transaction_rollback(e):
         pending.commit()
     return e.select("region")
 
+
+
+# statistics and time windows
+
+
+@query("""select 'nation' as table_name, count(*) as row_count, 3 as column_count,
+cast(sum(length(cast(n_nationkey as varchar)) + length(n_name) + length(cast(n_regionkey as varchar))) as bigint) as size_bytes from nation
+union all select 'region', count(*), 2, cast(sum(length(cast(r_regionkey as varchar)) + length(r_name)) as bigint) from region""")
+def table_statistics(e):
+    from quern.sources.schema import Introspector
+
+    return Introspector(e.store).table_statistics().where("table_name in ('nation', 'region')")
+
+
+@query("""with t as (select cast(sum(length(cast(n_nationkey as varchar))) as bigint) as a, cast(sum(length(n_name)) as bigint) as b,
+cast(sum(length(cast(n_regionkey as varchar))) as bigint) as c, count(*) as n from nation)
+select 'n_nationkey' as column_name, a as total_bytes, round(a / n, 6) as average_bytes, round(a * 100 / (a + b + c), 6) as percent, 0 as nulls from t
+union all select 'n_name', b, round(b / n, 6), round(b * 100 / (a + b + c), 6), 0 from t
+union all select 'n_regionkey', c, round(c / n, 6), round(c * 100 / (a + b + c), 6), 0 from t""")
+def column_statistics(e):
+    from quern.sources.schema import Introspector
+
+    return Introspector(e.store).column_statistics("nation")
+
+
+@query("""select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end,
+event_type, count(*) as n, max(value) as top from events group by all""")
+def window_tumbling(e):
+    from quern.streaming.windows import windowed
+
+    rows = e.select("events").frame()
+    return windowed(rows, "ts", "1 hour", ["event_type"], {"n": "count(*)", "top": "max(value)"})
+
+
+@query("""with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from o)
+select min(ts) as window_start, max(ts) + interval '6 hours' as window_end, user_id, count(*) as n from s group by user_id, k""")
+def window_session(e):
+    from quern.streaming.windows import sessions
+
+    return sessions(e.select("events").frame(), "ts", "6 hours", ["user_id"], {"n": "count(*)"})

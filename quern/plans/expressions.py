@@ -114,7 +114,7 @@ class Value(Expression):
         self.value, self.sql_type = value, sql_type
 
     def write(self, scope: Scope) -> Fragment:
-        if isinstance(self.value, (list, tuple)) and not (self.sql_type or "").endswith("]"):
+        if isinstance(self.value, (list, tuple)) and not (self.sql_type and split_type(self.sql_type)[2]):
             return Row(self.value).write(scope)
         bound = scope.converter.to_sql(self.value, self.sql_type)
         if isinstance(bound, list):
