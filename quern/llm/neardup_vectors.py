@@ -30,7 +30,7 @@ from quern.llm.common import stored
 from quern.llm.graph import components
 
 #: Units that the cells are fitted on at most, cells at most, and units that a cell should hold on average.
-SAMPLE, MAX_CELLS, PER_CELL = 8192, 1024, 500
+SAMPLE, MAX_CELLS, PER_CELL = 8192, 512, 4096
 #: Units on either side of one block product.
 BLOCK = 2048
 
