@@ -189,6 +189,8 @@ class Scorer:
         self._known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self._languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         out, scores, at = [], [], 0
         while at < len(texts):
             split, chars = [], 0
@@ -200,7 +202,7 @@ class Scorer:
             get = self._known.__getitem__
             for tokens in split:
                 total = self._table[np.fromiter(map(get, tokens), np.int64, len(tokens))].sum(axis=0)
-                if not self._languages or total[-1] == 0:
+                if total[-1] == 0:
                     out.append(UNKNOWN)
                     scores.append(0.0)
                     continue
@@ -243,7 +245,8 @@ def train(docs: DataFrame, training: Column, path: str | None = None) -> tuple[l
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
-    """All columns of docs with lang_pred and lang_score beside them."""
+    """All columns of docs with lang_pred and lang_score beside them, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "lang_score")
     path = path or default_vocabulary()
     languages = model[0]
     chances = docs.sparkSession.sparkContext.broadcast(model[1])  # bounded by vocabulary and MAX_LANGUAGES
@@ -251,7 +254,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     text = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(languages, chances.value, Pieces(path)) if languages else Scorer([], np.zeros((1, 0)), Pieces(path))
+        own = Scorer(languages, chances.value, Pieces(path))
         for batch in batches:
             for piece in slices(batch, 2048):
                 found, scores = own.predict([x or "" for x in piece.column(text).to_pylist()])

@@ -12,7 +12,7 @@ import numpy as np
 END_ID = 1
 _MARK = "\x01"
 _TAIL = ".,!?;:"
-_LATIN = "\u0250"  # letters before it are single code points in NFC and have the same lower case everywhere
+_LATIN = "\u0250"  # before it, lower-case letters are single code points in NFC
 _GROUP = 2_000_000  # characters of text whose new words are encoded together
 
 
@@ -84,10 +84,10 @@ class WordEncoder:
         merge, spell = self._model.tokenize, self._bytes
         for word in words:
             stem = word.rstrip(_TAIL)
-            if not stem.isalpha() or not (stem.isascii() or max(stem) < _LATIN):
+            low = stem.lower()
+            if not low.isalpha() or not (low.isascii() or max(low) < _LATIN):
                 rest.append(word)
                 continue
-            low = stem.lower()
             ids = known.get(low)
             if ids is None:
                 ids = known[low] = array("I", [t.id for t in merge(low if low.isascii() else low.translate(spell))]).tobytes()
