@@ -199,23 +199,14 @@ def _change(engine: Engine, query: Update | Delete, arguments: Any) -> Outcome:
     head = Fragment(f"{view} as {quoted(alias)}")
     others = [*query._from, *(j.source for j in query._joins)]
     columns = {s.alias: _columns_of(engine, query, s) for s in others}
-    parts = [Fragment(f"{quoted(alias)}.{RID} as {RID}")]
-    for n, v in enumerate(changes.values()):
-        parts.append(v.operand(scope) + f" as _set{n}")
-    for s in others:
-        fields = ", ".join(f"{quoted(s.alias)}.{quoted(c)} as {quoted(c)}" for c in columns[s.alias])
-        parts.append(Fragment(f"struct({fields}) as {quoted('_t_' + s.alias)}"))
-    text = query._write_with(scope) + "select " + joined(", ", parts) + " from " + joined(" cross join ", [head, *(s.write(scope) for s in query._from)])
-    for join in query._joins:
-        text = text + " " + join.write(scope)
-    if query._where:
-        text = text + " where " + query._where.write(scope)
-    hits = engine.sql(text, arguments)
-    if others:
-        hits = hits.dropDuplicates([RID])
-    hits = engine.kept(hits.withColumn("_hit", F.lit(True)))
-    affected = hits.count()
-    matched = current.join(hits, RID, "left")
+    where = query._where.write(scope) if query._where else Fragment("true")
+    values = [v.operand(scope) for v in changes.values()]
+    if others or query._with or any("select" in f.text.lower() for f in (where, *values)):
+        image, affected = _by_join(engine, query, current, head, others, columns, where, values, arguments)
+    else:  # the table alone: one pass, no shuffle
+        parts = [Fragment(f"{quoted(alias)}.*"), "coalesce(" + where + ", false) as _hit", *(v + f" as _set{n}" for n, v in enumerate(values))]
+        image = engine.sql(Fragment("select ") + joined(", ", parts) + " from " + head, _reordered(arguments, where, values))
+        affected = image.where("_hit").count()
     if changes:
         place = {c: n for n, c in enumerate(changes)}
         out = []
@@ -223,12 +214,10 @@ def _change(engine: Engine, query: Update | Delete, arguments: Any) -> Outcome:
             own = F.col(quoted(c.name))
             if c.name in place:
                 name = f"_set{place[c.name]}"
-                value = _stored_as(F.col(name), hits.schema[name].dataType.simpleString(), c.sql_type, c.spark)
+                value = _stored_as(F.col(name), image.schema[name].dataType.simpleString(), c.sql_type, c.spark)
                 own = F.when(F.col("_hit"), value).otherwise(own)
             out.append(own.alias(c.name))
-        image = matched.select(*out, RID, "_hit", *[quoted("_t_" + s.alias) for s in others])
-    else:
-        image = matched
+        image = image.select(*out, RID, "_hit", *[quoted("_t_" + s.alias) for s in others])
     frame = None
     if query.returns_rows:
         shown = image.where("_hit")
@@ -236,12 +225,40 @@ def _change(engine: Engine, query: Update | Delete, arguments: Any) -> Outcome:
         structs = [F.struct(*plain).alias(alias), *[F.col(quoted("_t_" + s.alias)).alias(s.alias) for s in others]]
         structs = [s for s in structs if s._jc.toString() not in table.columns]
         frame = _returned(engine, query._returning, shown.select(*plain, *structs), {alias: table.columns} | columns, table.columns)
-    kept = image if changes else matched.where(F.col("_hit").isNull())
+    kept = image if changes else image.where(~F.coalesce("_hit", F.lit(False)))
     if affected:
         store.overwrite(table.name, kept.select(*map(quoted, table.columns), RID))
     return Outcome(affected, frame)
 
 
+def _reordered(arguments: Any, where: Fragment, values: list[Fragment]) -> Any:
+    """Arguments come in the order of the statement, SET before WHERE; the one-pass form has WHERE first."""
+    if not arguments:
+        return arguments
+    split = sum(len(v.values) for v in values)
+    return [*arguments[split:], *arguments[:split]]
+
+
+def _by_join(
+    engine: Engine, query: Update | Delete, current: DataFrame, head: Fragment, others: list[Source],
+    columns: dict[str, list[str]], where: Fragment, values: list[Fragment], arguments: Any,
+) -> tuple[DataFrame, int]:
+    """All rows of the table, with what the rows that a join singles out are to become; and the number of these."""
+    scope = engine.scope
+    parts = [Fragment(f"{quoted(query.target.alias)}.{RID} as {RID}"), *(v + f" as _set{n}" for n, v in enumerate(values))]
+    for s in others:
+        fields = ", ".join(f"{quoted(s.alias)}.{quoted(c)} as {quoted(c)}" for c in columns[s.alias])
+        parts.append(Fragment(f"struct({fields}) as {quoted('_t_' + s.alias)}"))
+    text = query._write_with(scope) + "select " + joined(", ", parts) + " from " + joined(" cross join ", [head, *(s.write(scope) for s in query._from)])
+    for join in query._joins:
+        text = text + " " + join.write(scope)
+    hits = engine.sql(text + " where " + where, arguments)
+    if others:
+        hits = hits.dropDuplicates([RID])
+    hits = engine.kept(hits.withColumn("_hit", F.lit(True)))
+    return current.join(hits, RID, "left"), hits.count()
+
+
 def _columns_of(engine: Engine, query: Query, source: Source) -> list[str]:
     text = query._write_with(engine.scope) + "select * from " + source.write(engine.scope) + " limit 0"
     return engine.sql(text).columns

@@ -113,8 +113,18 @@ class Store:
                     raise QueryError("Stored tables need a folder that all executors share")
                 shared = tempfile.mkdtemp(prefix="quern-store-")
             self._root = f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
         return self._root
 
+    def close(self) -> None:
+        """Drops all tables, and the folder of their versions."""
+        for name in list(self.tables):
+            self.drop(name)
+        if self._root is not None:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     # declaring
     def register(self, name: str, frame: DataFrame, primary_key: Sequence[str] = (), **more: Any) -> Table:
         """A read-only frame as a table; the first change copies it."""
