@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, key_of, stored
+from quern.llm.common import WORD, fresh, key_of, small_side, stored
 
 #: Documents of a source that one task rounds together, and open documents that meet on each step up.
 GROUP, FAN_IN = 8192, 64
@@ -131,13 +131,13 @@ def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: i
 def copies(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, seed: int = 17
 ) -> DataFrame:
-    """doc_id, source, digest (of the text), n_rows (equal rows), size, source_size, target, copies: a row for each distinct document."""
+    """doc_id, source, digest (of text and source), n_rows (equal rows), size, source_size, target, copies: a row for each distinct document."""
     spark = docs.sparkSession
     units = stored(
         docs.select(
             "doc_id",
             "source",
-            F.xxhash64("text").alias("digest"),
+            F.xxhash64("text", "source").alias("digest"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         )
         .groupBy("doc_id", "source", "digest", "size")
@@ -192,17 +192,11 @@ def copies(
     )
 
 
-def expanded(df: DataFrame, times: str) -> DataFrame:
-    """Each row as often as column `times` says."""
-    return df.withColumn("_copy", F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times).cast("int"))))).drop("_copy")
-
-
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of docs with all their columns, each as often as the mix takes it."""
-    took = copies(docs, **options).where("copies > 0")
-    took = took.select(
-        F.struct("doc_id", "source", "digest").alias("_mix_key"), F.col("copies").alias("_mix_copies")
-    )
-    keyed = docs.withColumn("_mix_key", F.struct("doc_id", "source", F.xxhash64("text").alias("digest")))
-    joined = keyed.join(took, keyed["_mix_key"].eqNullSafe(took["_mix_key"])).drop("_mix_key")
-    return expanded(joined, "_mix_copies").drop("_mix_copies")
+    key, digest, other, again, times = (fresh(docs, n) for n in ("_key", "_digest", "_other_key", "_other_digest", "_times"))
+    took = copies(docs, **options).where("copies > 0").select(F.col("doc_id").alias(other), F.col("digest").alias(again), F.col("copies").cast("int").alias(times))
+    took = small_side(stored(took, "copies"))
+    keyed = docs.withColumn(key, F.col("doc_id")).withColumn(digest, F.xxhash64("text", "source"))
+    joined = keyed.join(took, keyed[key].eqNullSafe(took[other]) & (keyed[digest] == took[again])).drop(key, digest, other, again)
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(True), F.col(times)))).drop(times)

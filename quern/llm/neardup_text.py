@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, partitions, stored
+from quern.llm.common import discard, fresh, partitions, small_side, stored
 from quern.llm.count_tree import count_vector, forest, groups_for
 from quern.llm.graph import components
 from quern.llm.shingles import grouped_sets
@@ -174,16 +174,24 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs, of each group that which has the smallest doc_id (ties: smallest text hash); rows without words all stay."""
-    found = stored(_grouped(docs, percent), "grouped")
+    found = stored(_grouped(docs, percent), "grouped").where("component is not null")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")
-    kept = found.where("component is not null").groupBy("component").agg(first)
-    kept = kept.select("k.doc_id", "k.text_hash").withColumn("_once", F.lit(True))
-    kept = kept.union(found.where("component is null").select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False)))
-    kept = kept.select(F.struct("doc_id", "text_hash").alias("_kept"), "_once")
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
-    joined = keyed.join(kept, keyed["_key"].eqNullSafe(kept["_kept"])).drop("_kept")
-    once = joined.where("_once").dropDuplicates(["_key"])
-    return once.union(joined.where("not _once")).drop("_key", "_once")
+    shared = found.groupBy("component").agg(first, F.count("*").alias("members")).where("members > 1")
+    shared = stored(shared.select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "shared")
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    rows = found.join(shared, "component").groupBy("doc_id", "text_hash").agg(F.first(stays).alias("stays"), F.count("*").alias("times"))
+    rows = stored(rows.where("not stays or times > 1"), "repeated")
+
+    key, hash_, other, again = (fresh(docs, n) for n in ("_key", "_hash", "_other_key", "_other_hash"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64("text"))
+    gone = small_side(rows.select(F.col("doc_id").alias(other), F.col("text_hash").alias(again)))
+    match = keyed[key].eqNullSafe(gone[other]) & (keyed[hash_] == gone[again])
+    kept = keyed.join(gone, match, "left_anti")
+    once = rows.where("stays").select(F.col("doc_id").alias(other), F.col("text_hash").alias(again))
+    if not once.isEmpty():  # equal rows of which one stays
+        same = keyed[key].eqNullSafe(once[other]) & (keyed[hash_] == once[again])
+        kept = kept.union(keyed.join(once, same, "left_semi").dropDuplicates([key, hash_]))
+    return kept.drop(key, hash_)
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
@@ -203,9 +211,10 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     )
     hot_keys = np.array(sorted(r["key"] for r in hot), dtype=np.int64)
     keyed = stored(units.select("digest", "n", "keys").mapInArrow(_keys(hot_keys, percent), "key long, digest binary"), "keys")
-    same = F.bit_xor(F.xxhash64("digest")).alias("x")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), same, F.min("digest").alias("low"), F.max("digest").alias("high"))
-    shared = shared.where("members > 1").groupBy("members", "x", "low", "high").agg(F.min("key").alias("key"))
+    # two hashes of the set of members: keys with the same members are one block
+    same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), *same)
+    shared = shared.where("members > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key"))
     shared = stored(shared.select("key", F.ceil(F.col("members") / BLOCK_CHUNK).alias("chunks")), "blocks")
     blocks = stored(keyed.join(shared, "key"), "block-members").join(units.select("digest", "n", "vec"), "digest")
     blocks = _paired(blocks, "key", "chunks").select("key", "i", "j", "chunk", "digest", "n", "vec")
