@@ -42,7 +42,7 @@ class Engine(QueryBuilder):
         """An engine over Parquet tables in a folder, read only until a change copies them."""
         engine = cls(spark, **options)
         for name in tables:
-            engine.store.register(name, spark.read.parquet(f"{folder}/{name}.parquet"))
+            engine.store.declare(name, lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet"))
         return engine
 
     # frames
@@ -67,6 +67,7 @@ class Engine(QueryBuilder):
             if len(values) != len(fragment.values):
                 raise QueryError(f"{len(values)} arguments for {len(fragment.values)} placeholders")
         text, bound = named(fragment, values)
+        self.store.load_named(text)
         try:
             return self.spark.sql(text, args=bound) if bound else self.spark.sql(text)
         except PySparkException as e:
@@ -167,4 +168,4 @@ class Engine(QueryBuilder):
         return out
 
     def tables(self) -> list[str]:
-        return sorted(self.store.tables)
+        return sorted(self.store.load_all().tables)

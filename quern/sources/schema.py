@@ -72,7 +72,7 @@ class Introspector:
     """Reads the declarations of a store and Spark's catalog."""
 
     def __init__(self, store: Store):
-        self._store = store
+        self._store = store.load_all()
 
     def current_database(self) -> str:
         return self._store.spark.catalog.currentDatabase()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -100,6 +100,8 @@ class Store:
         self._root = root
         self.tables: dict[str, Table] = {}
         self.versions: dict[str, Version] = {}
+        self._pending: dict[str, Callable[[], DataFrame]] = {}
+        self._loaded: dict[str, Version] = {}
         self._serials: dict[tuple[str, str], int] = {}
         self.deferred: set[str] | None = set()  # names of constraints that wait for commit; None: all that can
 
@@ -134,6 +136,26 @@ class Store:
         self._show(name)
         return table
 
+    def declare(self, name: str, load: Callable[[], DataFrame]) -> None:
+        """A read-only frame that is made when a statement first names it."""
+        self._pending[name] = load
+
+    def load(self, name: str) -> None:
+        if (make := self._pending.pop(name, None)) is not None:
+            self.register(name, make())
+            self._loaded[name] = self.versions[name]
+
+    def load_named(self, text: str) -> None:
+        """Loads the declared tables whose names occur in a statement."""
+        if self._pending:
+            for word in set(re.findall(r"\w+", text)).intersection(self._pending):
+                self.load(word)
+
+    def load_all(self) -> Store:
+        for name in list(self._pending):
+            self.load(name)
+        return self
+
     def create(
         self,
         name: str,
@@ -170,9 +192,11 @@ class Store:
         self.spark.catalog.dropTempView(_view(name))
 
     def find(self, name: str) -> Table | None:
+        self.load(name)
         return self.tables.get(name)
 
     def get(self, name: str) -> Table:
+        self.load(name)
         if name not in self.tables:
             raise TableDoesNotExist(f"Table {name} does not exist", sqlstate="42P01")
         return self.tables[name]
@@ -275,8 +299,9 @@ class Store:
     def restore(self, snapshot: dict[str, Version]) -> None:
         """Back to a snapshot; serial numbers that were taken stay taken."""
         for name in self.tables:
-            if name in snapshot and self.versions[name] is not snapshot[name]:
-                self.versions[name] = snapshot[name]
+            version = snapshot.get(name, self._loaded.get(name))
+            if version is not None and self.versions[name] is not version:
+                self.versions[name] = version
                 self._show(name)
 
 
