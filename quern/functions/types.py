@@ -9,6 +9,7 @@ import re
 import uuid
 from collections.abc import Callable
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 from typing import Any
 from zoneinfo import ZoneInfo
 
@@ -46,6 +47,7 @@ INTEGERS = {"smallint": 16, "integer": 32, "bigint": 64}
 _CANONICAL = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
 
 
+@lru_cache(maxsize=1024)
 def split_type(name: str) -> tuple[str, str, int]:
     """Canonical element type, parameters in brackets, and array depth of a type name."""
     text, depth = re.sub(r"\s+", " ", name.strip().lower()), 0
@@ -63,6 +65,7 @@ def canonical(name: str) -> str:
     return base + "[]" * depth
 
 
+@lru_cache(maxsize=1024)
 def spark_type(name: str) -> str:
     """The Spark type for a SQL type name; other names are taken to be Spark's own."""
     base, brackets, depth = split_type(name)
@@ -111,9 +114,10 @@ class Converter:
                 raise TypeConversionError(f"{value!r} is not an array")
             inner = base + "[]" * (depth - 1)
             return [self.to_sql(v, inner) for v in value]
-        for kind in type(value).__mro__:
-            if (base, kind) in self._own:
-                return self._own[base, kind][0](value)
+        if self._own:
+            for kind in type(value).__mro__:
+                if (base, kind) in self._own:
+                    return self._own[base, kind][0](value)
         return self._convert(value, base, "in")
 
     def from_sql(self, value: Any, sql_type: str | None = None, python_type: type | None = None) -> Any:
@@ -155,7 +159,10 @@ class Converter:
 
     def _integer(self, value: Any, way: str, bits: int) -> int:
         if isinstance(value, str):
-            value = Decimal(value.strip())
+            try:
+                value = int(value)
+            except ValueError:
+                value = Decimal(value.strip())
         if isinstance(value, (float, Decimal)):
             if not math.isfinite(value):
                 raise TypeConversionError(f"{value!r} is no integer")

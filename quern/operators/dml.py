@@ -37,12 +37,12 @@ def run(engine: Engine, query: Query, arguments: Any = None) -> Outcome:
     raise QueryError("This query changes no data")
 
 
-def _incoming(engine: Engine, query: Insert | Merge, table: Table, arguments: Any) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
-    """The rows to write under the target's column names, with their order in column _n."""
+def _incoming(engine: Engine, query: Insert | Merge, table: Table, arguments: Any) -> tuple[DataFrame, list[str]]:
+    """The rows to write under the target's column names, with their order in column _n; and these names."""
     source = query.get_query()
     if source is None:
         one = engine.spark.range(1)
-        return one.select(F.lit(0).alias("_n")), [], {}
+        return one.select(F.lit(0).alias("_n")), []
     inner = engine.frame(_with_of(query, source), arguments)
     names = query.names or (table.columns[: len(inner.columns)])
     if len(names) != len(inner.columns):
@@ -51,7 +51,7 @@ def _incoming(engine: Engine, query: Insert | Merge, table: Table, arguments: An
     rows = inner.toDF(*names)
     kinds = {n: table.column(n) for n in names}
     shaped = [_stored_as(F.col(quoted(n)), rows.schema[n].dataType.simpleString(), kinds[n].sql_type, kinds[n].spark).alias(n) for n in names]
-    return rows.select(*shaped, F.monotonically_increasing_id().alias("_n")), names, {}
+    return rows.select(*shaped, F.monotonically_increasing_id().alias("_n")), names
 
 
 def _with_of(query: Query, source: Any) -> Any:
@@ -75,7 +75,7 @@ def _completed(store: Store, table: Table, rows: DataFrame, names: list[str]) ->
     """Missing columns from serials and defaults, in order of arrival."""
     serials = [c for c in table.definitions if c.serial and c.name not in names]
     if serials:
-        # numbers by partition: counts of partitions are few, rows stay where they are
+        # rows are numbered inside their partitions, and these by their counts, so no task sees all rows
         numbered = rows.withColumn("_p", F.shiftright("_n", 33))
         counts = {r["_p"]: r["count"] for r in numbered.groupBy("_p").count().collect()}
         total, bases = 0, []
@@ -101,7 +101,7 @@ def _completed(store: Store, table: Table, rows: DataFrame, names: list[str]) ->
 
 def _insert(engine: Engine, query: Insert, arguments: Any) -> Outcome:
     store, table = engine.store, engine.store.get(query.target.expression.key)
-    rows, names, _ = _incoming(engine, query, table, arguments)
+    rows, names = _incoming(engine, query, table, arguments)
     written = store.append(table.name, _completed(store, table, rows, names).drop("_n"))
     return _outcome(engine, query, table, written, arguments)
 
@@ -112,7 +112,7 @@ def _merge(engine: Engine, query: Merge, arguments: Any) -> Outcome:
         raise QueryError("There is nothing to merge")
     if query.update is None:
         raise QueryError("Say what to do on conflict")
-    rows, names, _ = _incoming(engine, query, table, arguments)
+    rows, names = _incoming(engine, query, table, arguments)
     keys = [k.columns for k in table.keys]
     if query.update:
         key = [table.column(c).name for c in (query.key or (keys[0] if keys else ()))]

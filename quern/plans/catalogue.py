@@ -160,6 +160,11 @@ def scalar_subquery_project(e):
     return e.select("region", "r").column("r.r_name").column_expression(inner, "nations")
 
 
+@query("select r_name, (select v from (values ('only')) t(v)) as v from region")
+def values_project(e):
+    return e.select("region").column("r_name").column_expression(Values([["only"]]), "v")
+
+
 @query("select o_orderkey, 'what?' as mark, o_custkey + 3 as k from orders where o_orderpriority = '1-URGENT'")
 def raw_expression(e):
     q = e.select("orders").column("o_orderkey").column_expression("'what?'", "mark").column_expression("? + ?", "k", [ColumnRef("o_custkey"), 3])
@@ -494,6 +499,11 @@ def having_or(e):
     return e.select("orders").column("o_custkey").group_by("o_custkey").having_or(lambda w: w.expression("count(*) > ?", [14]).expression("min(o_totalprice) < ?", [1500]) and None)
 
 
+@query("select o_custkey from orders group by o_custkey having count(*) > 5 and min(o_totalprice) < 20000")
+def having_and(e):
+    return e.select("orders").column("o_custkey").group_by("o_custkey").having_and(lambda w: w.expression("count(*) > ?", [5]).expression("min(o_totalprice) < ?", [20000]) and None)
+
+
 @query("select count(*) as n from orders having count(*) > 10")
 def having_global(e):
     return e.select("orders").column_expression("count(*)", "n").having_expression("count(*) > 10")
@@ -602,6 +612,14 @@ def page(e):
     return e.select("part").column("p_partkey").order_by("p_partkey").page(7, 3)
 
 
+@query("""select p.p_partkey, (select count(*) from part) as total, cast(ceil((select count(*) from part) / 7.0) as bigint) as last_page
+from (select p_partkey from part order by p_partkey limit 7 offset 14) p""")
+def query_pager(e):
+    pager = e.pager(e.select("part").column("p_partkey").order_by("p_partkey"), 7, 3)
+    rows = e.select(Values([[r["p_partkey"]] for r in pager], ["p_partkey"]), "p").column_expression("cast(p.p_partkey as bigint)", "p_partkey")
+    return rows.column_value(pager.total, "total", "bigint").column_value(pager.last_page, "last_page", "bigint")
+
+
 @query("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 25")
 def top_k(e):
     q = e.select("lineitem").columns(["l_orderkey", "l_linenumber", "l_extendedprice"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import TYPE_CHECKING, Any
 
 from quern.errors import QueryError
@@ -27,12 +28,13 @@ def like_escaped(value: str) -> str:
 MARK = "\x00"
 
 
-@dataclass(frozen=True)
 class Fragment:
-    """Text with a mark for each of values, in order."""
+    """Text with a mark for each of values, in order. Never changed once made."""
+
+    __slots__ = ("text", "values")
 
-    text: str
-    values: tuple[Any, ...] = ()
+    def __init__(self, text: str, values: tuple[Any, ...] = ()):
+        self.text, self.values = text, values
 
     def __add__(self, other: Fragment | str) -> Fragment:
         if isinstance(other, str):
@@ -42,6 +44,9 @@ class Fragment:
     def __radd__(self, other: str) -> Fragment:
         return Fragment(other + self.text, self.values)
 
+    def __repr__(self) -> str:
+        return f"Fragment({self.text!r}, {self.values!r})"
+
 
 EMPTY = Fragment("")
 
@@ -55,6 +60,8 @@ def named(fragment: Fragment, values: Sequence[Any] | None = None) -> tuple[str,
 
 def joined(glue: str, parts: Iterable[Fragment]) -> Fragment:
     items = list(parts)
+    if len(items) == 1:
+        return items[0]
     return Fragment(glue.join(p.text for p in items), tuple(v for p in items for v in p.values))
 
 
@@ -74,7 +81,10 @@ class RawPart:
     hint: str | None = None
 
 
+@lru_cache(maxsize=4096)
 def split_raw(sql: str) -> list[RawPart]:
+    if "?" not in sql and "$$" not in sql:
+        return [RawPart(sql)] if sql else []
     out, at = [], 0
     for found in _TOKENS.finditer(sql):
         out.append(RawPart(sql[at : found.start()]))

@@ -55,10 +55,8 @@ class Engine(QueryBuilder):
     def kept(self, frame: DataFrame) -> DataFrame:
         """A frame whose rows stay as they are now, whatever happens to the tables."""
         folder = f"{self.store.root}/kept/{uuid.uuid4().hex}"
-        frame.toDF(*[f"c{k}" for k in range(len(frame.columns))]).write.parquet(folder)
-        shape = frame.schema
-        back = self.spark.read.parquet(folder)
-        return back.toDF(*shape.names) if shape.names else back
+        frame.toDF(*[f"c{k}" for k in range(len(frame.columns))]).write.parquet(folder)  # names may repeat
+        return self.spark.read.parquet(folder).toDF(*frame.columns)
 
     def sql(self, fragment: Fragment, arguments: Any = None) -> DataFrame:
         values = list(fragment.values)
