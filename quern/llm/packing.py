@@ -100,7 +100,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 2048, with_ids:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian 32-bit)."""
     ranged = encoded(docs, path)
     order = [F.col("place"), F.col("doc_id").asc_nulls_first()]
-    ranged = ranged.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, F.crc32("ids"))
+    spread = F.rand(5)  # parts rows that are equal in both
+    ranged = ranged.repartitionByRange(partitions(docs.sparkSession), *order, spread).sortWithinPartitions(*order, F.crc32("ids"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
 

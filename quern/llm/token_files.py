@@ -12,7 +12,7 @@ Files are cells of a table in the shared folder, because executors reach a share
 writer's commit protocol makes them survive lost executors.
 
 Defined cases. Null text is empty and holds the end id only. A null doc_id sorts first. Rows with equal doc_id keep all
-their documents, ordered by text hash. Any table without rows gives no file. With too few samples
+their documents, next to each other in any order. Any table without rows gives no file. With too few samples
 to train on, the dictionary is empty. Columns other than doc_id and text are ignored.
 """
 
@@ -175,7 +175,7 @@ def write_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, by
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.rand(5))  # rand parts equal ids
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     return stored(ordered.mapInArrow(write, FILES), "token-files"), dictionary

@@ -23,6 +23,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lowered(text: str) -> str:
+    """A text in lower case, where that gives the same ids: Latin-1 has one lower case everywhere, and special tokens have <|."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordEncoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes.
 
@@ -31,7 +42,7 @@ class WordEncoder:
     text. Other tokenizers encode each text directly.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -46,7 +57,8 @@ class WordEncoder:
             and first.get("behavior") == "Removed"
             and first.get("invert") is True
             and r"[^\s" in first.get("pattern", {}).get("Regex", "")
-            and not any(" " in t["content"] for t in spec.get("added_tokens", []))
+            and all(" " not in t["content"] and "<|" in t["content"] for t in spec.get("added_tokens", []))
+            and {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
             and len(mark) == 1
         )
         self._mark_id = mark[0] if mark else -1
@@ -69,7 +81,7 @@ class WordEncoder:
         while at < len(texts):
             split, chars = [], 0
             while at < len(texts) and chars < _GROUP:
-                split.append(texts[at].replace("\n", " ").split(" "))
+                split.append(_lowered(texts[at]).replace("\n", " ").split(" "))
                 chars += len(texts[at])
                 at += 1
             self._learn(set().union(*split).difference(self._known))
