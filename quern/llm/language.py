@@ -160,13 +160,17 @@ def fit(words: list[tuple[str, int, int]], languages: int, pieces: Pieces) -> np
 
 
 def runs_of(token: str) -> list[str]:
-    return [r[k : k + RUN] for r in _RUNS.findall(token) for k in range(0, len(r), RUN)]
+    """Runs of letters of a token, of RUN letters at most."""
+    found = _RUNS.findall(token)
+    if not all(map(str.isalpha, found)):  # numbers that are no digits
+        found = "".join(c if c.isalpha() else " " for c in token).split()
+    return [r[k : k + RUN] for r in found for k in range(0, len(r), RUN)]
 
 
 class Scorer:
     """Predicts texts; remembers the likelihoods of a bounded number of tokens."""
 
-    def __init__(self, languages: list[str], chances: np.ndarray, pieces: Pieces, remembered: int = 400_000):
+    def __init__(self, languages: list[str], chances: np.ndarray, pieces: Pieces, remembered: int = 200_000):
         self._languages, self._chances, self._pieces, self._limit = languages, chances, pieces, remembered
         self._forget()
 

@@ -165,8 +165,8 @@ class Scanner:
                     near.setdefault(block, []).append((a, b))
         return sorted(kept, key=lambda x: x[:2])
 
-    def scan(self, low: bytes) -> tuple[list[tuple[int, int, str]], list[str], float]:
-        """Base places, all labels and the score."""
+    def scan(self, low: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, Rule]], list[str], float]:
+        """Base places, detections kept, all labels and the score."""
         base = self.base(low)
         kept = self.spans(low)
         doubt = {}
@@ -174,7 +174,7 @@ class Scanner:
             doubt[rule.label] = min(doubt.get(rule.label, 1.0), 1 - rule.certainty)
         for _, _, label in base:
             doubt.setdefault(label, 0.4)
-        return base, sorted(doubt), 1 - float(np.prod(list(doubt.values()))) if doubt else 0.0
+        return base, kept, sorted(doubt), 1 - float(np.prod(list(doubt.values()))) if doubt else 0.0
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -201,10 +201,10 @@ def scan_licenses(docs: DataFrame, with_spans: bool = False) -> DataFrame:
                     starts = inside.copy()
                     starts[1:] &= ~inside[:-1]
                     raw = low.tobytes()
-                    base, labels, score = own.scan(raw)
+                    base, kept, labels, score = own.scan(raw)
                     at = [int(np.count_nonzero(starts[:a])) for a in (base[0][0], base[-1][0])] if base else [None, None]
                     row = (doc_id, int(np.count_nonzero(starts)), len(base), *at, ",".join(sorted({x for _, _, x in base})), ",".join(labels), score)
-                    out.append(row + ([{"label": r.label, "start": a, "end": b} for a, b, r in own.spans(raw)],) * with_spans)
+                    out.append(row + ([{"label": r.label, "start": a, "end": b} for a, b, r in kept],) * with_spans)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

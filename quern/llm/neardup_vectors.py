@@ -63,7 +63,7 @@ def visits(units: np.ndarray, cells: np.ndarray, chord: float) -> Iterator[tuple
             yield np.full(len(rows), cell), rows, home[rows] == cell
 
 
-def _units(threshold_columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _units(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels, lists = batch.columns
@@ -71,18 +71,18 @@ def _units(threshold_columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
             for label, item in zip(labels.to_pylist(), lists, strict=True):
                 v = None
                 if label is not None and item.is_valid and len(item) and item.values.null_count == 0:
-                    v = item.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    scale = np.abs(v).max()
-                    v = v / scale if np.isfinite(v).all() and scale > 0 else None
-                if v is None:
-                    digests.append(None), vectors.append(None), dims.append(0)
-                    continue
-                raw = (item.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).tobytes()
-                digests.append(hashlib.blake2b(repr(label).encode() + b"\0" + raw, digest_size=16).hexdigest())
-                vectors.append((v / np.linalg.norm(v)).astype("<f8").tobytes())
-                dims.append(len(v))
+                    v = item.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no -0.0
+                if v is None or not np.isfinite(v).all() or not v.any():
+                    digest, unit = None, None
+                else:
+                    digest = hashlib.blake2b(repr(label).encode() + b"\0" + v.tobytes(), digest_size=16).hexdigest()
+                    v /= np.abs(v).max()  # before squares, which could leave the range
+                    unit = (v / np.linalg.norm(v)).astype("<f8").tobytes()
+                digests.append(digest)
+                vectors.append(unit)
+                dims.append(0 if unit is None else len(v))
             cols = [ids, labels, pa.array(digests, pa.string()), pa.array(dims, pa.int32()), pa.array(vectors, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, threshold_columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return read
 

@@ -23,6 +23,26 @@ def op2_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh
+  from w
+), e as (select doc_id, len(sh) as n, unnest(sh) as h from s), links as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.h = b.h and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(a, b) as (
+  select doc_id, doc_id from s union select r.a, l.b from reach r join links l on l.a = r.b
+)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, c.m as component_id
+from s join (select a, min(b) as m from reach group by a) c on c.a = s.doc_id
+"""
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.licenses import scan_licenses
 
@@ -187,4 +207,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_vector_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_similar_documents": OP2_SQL, "op4_warc": OP4_SQL, "op5_vector_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}

@@ -80,6 +80,10 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.identify(every, nothing).collect()} == {"und"}
 
 
+def test_letters():
+    assert language.runs_of("a1b_c²d'é") == ["a", "b", "c", "d", "é"] and language.runs_of("²Ⅷ½_9") == [] and language.runs_of("x" * 40) == ["x" * 32, "x" * 8]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(language.default_vocabulary())
     chances = np.random.default_rng(1).random((pieces.size, 2)) * 1e-3
