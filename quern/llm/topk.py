@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, stored
+from quern.llm.common import stored
 
 SCALE = 256
 #: Candidates that a shard holds on average, and rows that are scored together.
-SHARD, ROWS = 16_384, 2048
+SHARD, ROWS = 4096, 2048
 _EXACT = 1 << 53
 
 
@@ -114,7 +114,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     shards = max(1, -(-found.count() // SHARD))
     rows = found.select(F.pmod(F.xxhash64("vec_id", "terms"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "terms")
     rows = rows.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True), "vec_id", "terms"))
-    rows = rows.repartition(max(shards, min(partitions(found.sparkSession), 4 * shards)), "shard").sortWithinPartitions("shard", "asks")
+    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, terms, shard = None, [], [], None
