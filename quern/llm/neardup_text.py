@@ -40,8 +40,6 @@ KEYS, SKETCH = 32, 64
 HOT_SAMPLE, HOT_COUNT, MAX_HOT = 8, 48, 500_000
 #: Members of a block chunk; members and bytes of sets of a class chunk.
 BLOCK_CHUNK, CLASS_CHUNK, CLASS_BYTES = 8192, 4096, 16 << 20
-#: Units up to which their ids are broadcast to pick the texts that are read again.
-PICKED = 2_000_000
 
 
 def _sketches():
@@ -226,22 +224,16 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     weight = stored(weight.select("component", F.greatest(F.lit(1), F.ceil(F.col("members") / CLASS_CHUNK), F.ceil(F.col("bytes") / CLASS_BYTES)).alias("chunks")), "class-sizes")
     members = stored(classes.join(weight, "component").select("component", F.col("id").alias("digest"), "least", "chunks"), "class-members")
 
-    picked = None
-    if members.count() <= PICKED:
-        picked = np.array(sorted(r["least"] for r in members.where("least is not null").select("least").distinct().toLocalIterator()), dtype=np.int64)
-    chosen = spark.sparkContext.broadcast(picked)
-
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = chosen.value
         for batch in batches:
-            if ids is not None:
-                own = batch.column(0)
-                batch = batch.filter(pa.array(np.isin(own.fill_null(0).to_numpy(), ids) | own.is_null().to_numpy(zero_copy_only=False)))
             for piece in slices(batch, 1024):
                 sets = [s for s in grouped_sets(piece.column(2).to_pylist()) if len(s)]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "tokens"])
 
+    # only texts that stand for a unit of a class are read again
+    chosen = small_side(stored(members.select("least").distinct(), "chosen"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = texts.mapInArrow(again, "digest binary, tokens binary").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     paired = _paired(members.join(sets, "digest"), "component", "chunks").select("component", "i", "j", "chunk", "digest", "tokens")
     paired = paired.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
