@@ -57,6 +57,15 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def hash_sample(df: DataFrame, hashed: Column, rows: int) -> DataFrame:
+    """About that many rows, those of smallest hash, and no more; all of a smaller table.
+
+    The cut is taken from a count, so no task sends more than its share.
+    """
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

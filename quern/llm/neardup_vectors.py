@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import hash_sample, stored
 from quern.llm.graph import components
 
 #: Units that the cells are fitted on at most, cells at most, and units that a cell should hold on average.
@@ -134,7 +134,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     )
     n = units.count()
     k = max(1, min(MAX_CELLS, n // PER_CELL))
-    sample = units.select("digest", "dim", "vec").orderBy("digest").limit(SAMPLE if k > 1 else 0).collect()
+    place = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
+    sample = hash_sample(units.select("digest", "dim", "vec"), place, SAMPLE).collect() if k > 1 else []
+    sample.sort(key=lambda r: r["digest"])
     cells: dict[int, np.ndarray] = {}
     for dim in {r["dim"] for r in sample}:
         cells[dim] = fit_cells(np.stack([np.frombuffer(r["vec"], "<f8") for r in sample if r["dim"] == dim]), k)
