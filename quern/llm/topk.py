@@ -1,6 +1,6 @@
 """Exact top-k by inner product with MaxScore (operator 6).
 
-A vector is a sparse document whose terms are its dimensions, with whole-number weights. Candidates are dealt by hash into
+A vector is a sparse document whose terms are its dimensions, with whole-number weights. Candidates are dealt at random into
 shards; all queries stream past each shard. For a query, the largest contribution that any candidate of
 the shard can make bounds each term. Terms whose bounds together can't lift a candidate to the k-th best score so far are
 non-essential: scores are first summed over the essential terms' postings, and the other terms are probed, largest
@@ -79,7 +79,9 @@ class Shard:
             rows = np.flatnonzero(self.ids[a : a + ROWS] != query_id)
             # essential terms: a candidate at their floors can't reach the threshold by the others
             split = width if threshold == -np.inf else min(width, int(np.searchsorted(-(least + rest), -threshold, side="right")))
-            partial = (block[:, order[:split]] @ q[order[:split]])[rows]
+            essential = np.zeros(width)
+            essential[order[:split]] = q[order[:split]]
+            partial = (block @ essential)[rows]
             while True:
                 alive = partial + rest[split] >= threshold
                 rows, partial = rows[alive], partial[alive]
@@ -112,7 +114,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     found = stored(read(candidates), "candidates")
     asked = stored(read(queries).distinct(), "asked")
     shards = max(1, -(-found.count() // SHARD))
-    rows = found.select(F.pmod(F.xxhash64("vec_id", "terms"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "terms")
+    rows = found.select((F.rand(3) * shards).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "terms")
     rows = rows.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True), "vec_id", "terms"))
     rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks")
 
