@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, stored
+from quern.llm.common import hash_sample, partitions, stored
 from quern.llm.tokens import END_ID, default_tokenizer, encoder
 
 _HEAD = struct.Struct("<8sII32sQ")
@@ -47,15 +47,12 @@ def serialized(ids: bytes, wide: bool) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary from the documents of smallest hash, SAMPLE_DOCS of them at most."""
+    """A zstandard dictionary from documents of smallest hash, SAMPLE_DOCS of them at most."""
     import zstandard
 
-    rows = (
-        docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .orderBy("h", "doc_id", "text")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = hash_sample(texts, F.xxhash64("doc_id"), SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
     own = encoder(path)
     samples = [serialized(x, own.wide) for x in own.encode([r["text"] or "" for r in rows]) if x]
     try:
