@@ -80,8 +80,8 @@ LICENSES = {
     "proprietary": ("", "", "all rights reserved|proprietary and confidential|may not be reproduced without permission|unauthorized copying of this file"),
     "no-warranty": ("", "", "without warranty of any kind|without any warranty|warranties or conditions of any kind"),
 }
-#: A text without any of these can't match a rule.
-GATES = ("licen", "copyright", "spdx", "gpl", "public domain", "all rights reserved", "creativecommons", "creative commons", "cc0", "warrant", "proprietary", "unauthorized copying", "without permission", "permission", "redistribution", "bsd", "mozilla.org", "apache.org", "boost.org", "eclipse.org", "advertising materials", "altered source", "openssl project", "neither the name")
+#: Single words, since any gap may stand between two. A text without any of them, or of those that gates() adds, can't match a rule.
+GATES = ("licen", "copyright", "spdx", "gpl", "domain", "reserved", "commons", "cc0", "warrant", "proprietary", "unauthorized", "permission", "redistribution", "bsd", "mozilla", "apache", "boost", "eclipse", "advertising", "altered", "openssl")
 
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _BEFORE, _AFTER = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
@@ -105,7 +105,7 @@ def _phrase(text: str) -> bytes:
 
 
 def _rule(label: str, priority: int, certainty: float, body: bytes, keywords: list[bytes]) -> Rule:
-    return Rule(label, priority, certainty, tuple(sorted(set(keywords), key=len, reverse=True)[:4]), re.compile(_BEFORE + body + _AFTER))
+    return Rule(label, priority, certainty, tuple(sorted(set(keywords), key=lambda k: (-len(k), k))[:4]), re.compile(_BEFORE + body + _AFTER))
 
 
 def rules() -> list[Rule]:
@@ -130,12 +130,21 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: r.priority)
 
 
+def gates(every: list[Rule]) -> list[bytes]:
+    """Words of which each rule needs one: GATES, and the longest keyword of a rule that needs none of them."""
+    out = [g.encode() for g in GATES]
+    for rule in every:
+        if not any(g in k for g in out for k in rule.keywords):
+            out.append(rule.keywords[0])
+    return out
+
+
 class Scanner:
     """Searches texts given as lower-cased bytes."""
 
     def __init__(self) -> None:
         self._rules = rules()
-        self._gates = [g.encode() for g in GATES]
+        self._gates = gates(self._rules)
         self._keywords = sorted({k for r in self._rules for k in r.keywords})
         self._base = [(label, _words(p), re.compile(_BEFORE + _phrase(p) + _AFTER)) for p, label in BASE.items()]
 

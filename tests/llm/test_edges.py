@@ -233,6 +233,19 @@ def test_rules_are_gated_and_ordered():
     assert [(a, b) for a, b, _ in inside] and all(not (a <= c and d <= b) for k, (a, b, _) in enumerate(inside) for j, (c, d, _) in enumerate(inside) if k != j)
 
 
+def test_gates_let_all_gaps_through():
+    every = licenses.rules()
+    assert all(any(g in k for g in licenses.gates(every) for k in r.keywords) for r in every)
+    scanner = licenses.Scanner()
+    for label, (names, _, signatures) in licenses.LICENSES.items():
+        for text in filter(None, (names + "|" + signatures).split("|")):
+            for gap in ("\n", "  ", "-", "\r\n * "):
+                assert label in [r.label for _, _, r in scanner.spans(gap.join(text.split()).encode())], (text, gap)
+    for text, label in (("placed in the public\ndomain", "public-domain"), ("all rights\nreserved", "proprietary"), ("creative\ncommons attribution", "cc-by"), ("altered\nsource versions must be plainly marked as such", "zlib")):
+        _, kept, labels, score = scanner.scan(text.encode())
+        assert label in labels and kept and score > 0
+
+
 # archives
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
