@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from quern.llm.token_files import slices
 
 PER_LANGUAGE, WORDS, MAX_LANGUAGES, ROUNDS = 600, 150_000, 256, 3
-PIECE, RUN = 8, 32
+RUN = 32
+#: Length of the longest piece that can occur, that of a whole run and its start: no piece of the vocabulary is left out.
+PIECE = RUN + 1
 UNKNOWN = "und"
 _START = "▁"
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -42,15 +44,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k neighbouring codes along the last axis."""
-    n = codes.shape[-1] - k + 1
-    out = np.zeros(codes.shape[:-1] + (n,), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            out = (out ^ codes[..., j : j + n].astype(np.uint64)) * _BASE
-            out ^= out >> np.uint64(29)
-    return out
+def _hashes(codes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hashes of each k neighbouring codes along the last axis, for k from 1 to most."""
+    codes = codes.astype(np.uint64)
+    out = np.zeros_like(codes)
+    for k in range(1, most + 1):
+        out = (out[..., : codes.shape[-1] - k + 1] ^ codes[..., k - 1 :]) * _BASE
+        out ^= out >> np.uint64(29)
+        yield out
 
 
 class Pieces:
@@ -68,7 +69,8 @@ class Pieces:
         for k in range(1, PIECE + 1):
             same = [w for w in self.words if len(w) == k]
             if same:
-                h = _hashes(np.array([[ord(c) for c in w] for w in same], dtype=np.int64), k)[:, 0]
+                *_, h = _hashes(np.array([[ord(c) for c in w] for w in same], dtype=np.int64), k)
+                h = h[:, 0]
                 order = np.argsort(h)
                 self.tables[k] = (h[order], at + order)
             at += len(same)
@@ -77,9 +79,9 @@ class Pieces:
     def lattice(self, codes: np.ndarray) -> dict[int, np.ndarray]:
         """For each length, the piece that starts at each place of padded words, or -1."""
         out = {}
-        for k, (table, index) in self.tables.items():
-            if codes.shape[1] >= k:
-                h = _hashes(codes, k)
+        for k, h in enumerate(_hashes(codes, min(codes.shape[1], max(self.tables))), 1):
+            if k in self.tables:
+                table, index = self.tables[k]
                 at = np.minimum(np.searchsorted(table, h), len(table) - 1)
                 hit = (table[at] == h) & (codes[:, k - 1 :] > 0)
                 out[k] = np.where(hit, index[at], -1)

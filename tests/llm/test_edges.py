@@ -102,6 +102,19 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language.likelihoods(words, pieces, chances), [total("▁" + w) for w in words])
 
 
+def test_long_pieces_are_used():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=language.default_vocabulary())
+    every = {w for w in map(own.id_to_piece, range(own.get_piece_size())) if w.strip("▁").isalpha() and w == w.lower() and "▁" not in w[1:]}
+    pieces = language.Pieces(language.default_vocabulary())
+    assert every == set(pieces.words) - {"▁"} and max(map(len, every)) == 16
+    chances = np.zeros((pieces.size, 1))
+    for word in ("something", "information", "important"):
+        chances[pieces.words.index("▁" + word)] = 0.25
+        assert np.allclose(language.likelihoods([word], pieces, chances), np.log(0.25))
+
+
 # similar documents
 
 
