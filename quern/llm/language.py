@@ -6,7 +6,8 @@ likelihood is the sum over all its segmentations, by a forward pass over its let
 the product over its words. The prediction is the language of highest likelihood, its score the posterior under equal priors.
 
 Bounds of the fit, all parameters: about PER_LANGUAGE documents of each language (those of smallest hash; counted and cut over all
-labelled documents), WORDS most frequent words of them, MAX_LANGUAGES languages. Prediction reads every word of every text.
+labelled documents), MAX_LANGUAGES languages. All words of these documents count; each language is fitted alone, by a task of its
+own, so the driver receives its piece probabilities only. Prediction reads every word of every text.
 
 Defined cases. Null text or text without a letter: 'und' with score 0. Null languages are not learned from; with
 none to learn, all is 'und'. Letters outside the vocabulary have one small probability in all languages. Runs of more than RUN letters
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.token_files import slices
 
-PER_LANGUAGE, WORDS, MAX_LANGUAGES, ROUNDS = 600, 150_000, 256, 3
+PER_LANGUAGE, MAX_LANGUAGES, ROUNDS = 600, 256, 3
 RUN = 32
 #: Length of the longest piece that can occur, that of a whole run and its start: no piece of the vocabulary is left out.
 PIECE = RUN + 1
@@ -241,13 +242,16 @@ def train(docs: DataFrame, training: Column, path: str | None = None) -> tuple[l
         return [], np.zeros((0, 0))
     cut = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(cut, F.col("lang")) * 1_000_003)
-    words = (
-        chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "word").limit(WORDS).collect()
-    )
-    place = {x: k for k, x in enumerate(languages)}
-    return languages, fit([(r["word"], place[r["lang"]], r["n"]) for r in words], len(languages), Pieces(path or default_vocabulary()))
+    words = chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    path = path or default_vocabulary()
+
+    def fit_one(found: pa.Table) -> pa.Table:
+        chances = fit([(w, 0, n) for w, n in zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)], 1, Pieces(path))
+        return pa.table({"lang": found["lang"][:1], "chances": pa.array([chances[:, 0].tobytes()], pa.binary())})
+
+    fitted = {r["lang"]: np.frombuffer(r["chances"]) for r in words.groupBy("lang").applyInArrow(fit_one, "lang string, chances binary").collect()}
+    wordless = fit([], 1, Pieces(path))[:, 0]
+    return languages, np.stack([fitted.get(x, wordless) for x in languages], axis=1)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:

@@ -115,6 +115,19 @@ def test_long_pieces_are_used():
         assert np.allclose(language.likelihoods([word], pieces, chances), np.log(0.25))
 
 
+def test_all_words_of_all_languages_are_learned(spark, docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**j % 26] for j in range(4))
+    large = [(k, " ".join(word(k * 2000 + j) for j in range(2000)) + " " + " ".join(word(k * 2000 + j) for j in range(2000)), "aa") for k in range(100)]
+    data = docs(*large, (1000, "zzyzx qwghlm", "zz"), (1001, "12 34", "zy"))
+    languages, chances = language.train(data, F.lit(True))
+    pieces = language.Pieces(language.default_vocabulary())
+    assert languages == ["aa", "zy", "zz"] and chances.shape == (pieces.size, 3)
+    alone = language.fit([("zzyzx", 0, 1), ("qwghlm", 0, 1)], 1, pieces)[:, 0]
+    assert np.allclose(chances[:, 2], alone) and np.allclose(chances[:-1, 1], chances[0, 1])
+    assert not np.allclose(chances[:, 2], chances[:, 1])
+
+
 # similar documents
 
 
