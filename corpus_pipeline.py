@@ -16,14 +16,12 @@ from quern.llm.neardup_text import without_near_duplicates
 from quern.llm.packing import pack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Posterior of the likeliest language under which a text has no one language; with two alike it is a half.
-LEAST_SCORE = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: texts without a letter, or of no one language, go; lang becomes the language found."""
+    """Operator 1: texts without a letter go, whatever the score of the others; lang becomes the language found."""
     found = identify(docs.select(*COLUMNS), train(docs, remainder(F.col("doc_id")) != 0))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    kept = found.where(F.col("lang_pred") != UNKNOWN)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

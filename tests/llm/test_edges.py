@@ -128,6 +128,14 @@ def test_all_words_of_all_languages_are_learned(spark, docs):
     assert not np.allclose(chances[:, 2], chances[:, 1])
 
 
+def test_pipeline_keeps_short_documents(spark, docs):
+    import corpus_pipeline
+
+    every = docs(*[(k, "hotel radio taxi", lang) for k, lang in enumerate(["aa", "bb", "cc"] * 20)], (100, "hotel", None), (101, "a", "aa"), (102, "12", "aa"), (103, None, "aa"))
+    kept = corpus_pipeline.identified(spark, every, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 100, 101]
+
+
 # similar documents
 
 
