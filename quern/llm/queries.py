@@ -139,13 +139,16 @@ def _captures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", at.alias("fetched_at"))
 
 
-def _entries(pages: DataFrame) -> DataFrame:
-    """A dated block and allow list over the hosts and parent domains of pages: three dated entries for each chosen key."""
+def _entries(pages: DataFrame, two_labels: bool = False) -> DataFrame:
+    """A dated block and allow list over the hosts and parent domains of pages: three dated entries for each chosen key.
+
+    Without two_labels only keys with two dots or more are chosen.
+    """
     from quern.llm.url_filter import keys_of
 
     keys = pages.select(F.explode(keys_of(F.col("url"))).alias("key")).distinct()
     keys = keys.withColumn("h", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"))
-    keys = keys.where((F.col("h") % 3 == 0) & F.col("key").like("%.%.%"))
+    keys = keys.where((F.col("h") % 3 == 0) & (F.lit(two_labels) | F.col("key").like("%.%.%")))
     step = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step")
     rows = keys.select("key", "h", step)
     action = F.when(F.col("step") == 1, "off").when(F.col("h") % 5 == 0, "allow").otherwise("block")
@@ -161,6 +164,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_captures(pages), _entries(pages))
 
 
+def op9_url_filter_site_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With two-label parents such as example.com in the list, which a large part of the captures asks for."""
+    from quern.llm.url_filter import filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(_captures(pages), _entries(pages, two_labels=True))
+
+
 OP9_SQL = r"""
 with parts as (
   select page_id, url, timestamp '2024-01-01' + to_minutes((((page_id * 37) % 527040) + 527040) % 527040) as fetched_at,
@@ -195,6 +206,9 @@ select p.page_id, p.url, p.fetched_at, coalesce(h.action, 'none') as verdict, h.
 from numbered p left join hits h on h.rid = p.rid and h.r = 1
 """
 
+#: The same without the condition on dots.
+OP9_SITE_WIDE_SQL = OP9_SQL.replace(" and key like '%.%.%'", "")
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_similar_documents": op2_similar_documents,
@@ -205,6 +219,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
+    "op9_url_filter_site_wide": op9_url_filter_site_wide,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op2_similar_documents": OP2_SQL, "op4_warc": OP4_SQL, "op5_vector_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_similar_documents": OP2_SQL, "op4_warc": OP4_SQL, "op5_vector_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_url_filter": OP9_SQL, "op9_url_filter_site_wide": OP9_SITE_WIDE_SQL}

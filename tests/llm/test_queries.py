@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm.queries import ORACLE_SQL, QUERIES
+from quern.llm.queries import ORACLE_SQL, QUERIES, _entries
 from quern.llm.tokens import default_tokenizer
 from tests.conftest import DATA
 
@@ -46,6 +46,11 @@ def test_sql(spark, name):
     assert sorted([plain(r[c]) for c in sorted(names)] for r in mine.collect()) == sorted([plain(r[names.index(c)]) for c in sorted(names)] for r in found.fetchall())
 
 
+def test_op9_lists_site_wide_keys(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    assert _entries(pages, two_labels=True).where("key = 'example.com'").count() == 3
+
+
 def test_op1_language(spark, documents):
     rows = {r["doc_id"]: r for r in QUERIES["op1_language"](spark, DATA).collect()}
     assert len(rows) == len(documents)
