@@ -34,8 +34,8 @@ from quern.llm.tokens import END_ID, default_tokenizer, encoder
 
 _HEAD = struct.Struct("<8sII32sQ")
 _MAGIC = b"QTOK0001"
-#: Documents that the dictionary is trained on at most, characters of each, and its bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 4000, 65_536
+#: Documents that the dictionary is trained on at most, each whole, and its bytes.
+SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 65_536
 LEVEL = 1
 #: Bytes of frames and documents after which a file is closed.
 FILE_BYTES, FILE_DOCS = 8 << 20, 20_000
@@ -47,11 +47,10 @@ def serialized(ids: bytes, wide: bool) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary from documents of smallest hash, SAMPLE_DOCS of them at most."""
+    """A zstandard dictionary from whole documents of smallest hash, SAMPLE_DOCS of them at most."""
     import zstandard
 
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = hash_sample(texts, F.xxhash64("doc_id"), SAMPLE_DOCS).collect()
+    rows = hash_sample(docs.select("doc_id", "text"), F.xxhash64("doc_id"), SAMPLE_DOCS).collect()
     rows.sort(key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
     own = encoder(path)
     samples = [serialized(x, own.wide) for x in own.encode([r["text"] or "" for r in rows]) if x]

@@ -446,6 +446,16 @@ def test_files(spark, docs, monkeypatch):
     assert token_files.read_files(none, empty).count() == 0
 
 
+def test_dictionary_learns_from_whole_texts(spark, docs):
+    rng = np.random.default_rng(8)
+    tail = " ".join(f"zebra{k} quartz{k * 7}" for k in range(40))
+    data = [(k, " ".join(str(x) for x in rng.integers(0, 10**9, 500)) + " " + tail) for k in range(300)]
+    assert all(len(t) > 4000 + len(tail) for _, t in data)
+    dictionary = token_files.train_dictionary(docs(*data), default_tokenizer())
+    ids = np.frombuffer(ids_of(" " + tail), "<u4")[5:-5].astype("<u2")
+    assert any(ids[k : k + 12].tobytes() in dictionary for k in range(0, len(ids) - 12, 4))
+
+
 def test_short_document_is_read_alone():
     writer = token_files.FileWriter(b"", False)
     arrays = [np.arange(k, dtype="<u4") for k in (3, 5000, 1)]
