@@ -1,13 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding (operator 8).
 
 Each source gets a target number of words; each document of the source gets the same expected number of copies,
-target / source size. Its whole part is taken as it is. The fractional parts are rounded by the
-pivotal method: an open document trades mass with another, or with the pool of all smaller ones, counted in words so
-that the source's total stays put, until one side has whole numbers of copies; which side is random, and
-the expected copies of each stay as they were. Groups of documents of a source are rounded on their own; the one
-document that each leaves open goes up a reduction tree of fixed fan-in. The last open document of a source
-takes a whole number of copies, the nearer one or that whose miss smaller documents can make up by trading in the same
-way, so a source misses its target by less than one document.
+target / source size. Its whole part is taken as it is, its fractional part is the chance of one copy more. Chances are rounded
+in pairs, larger documents first: the open document and the next one trade mass, counted in words so that the source's
+total stays put, by one random draw, until one of the two has a whole number of copies; the other meets the next. Where the next
+document is less than half as large, the open one trades with all smaller ones of the group as with one, since they still have one
+common chance. A trade never changes what is expected of anybody. Documents are dealt into groups that are rounded on their own;
+what a group leaves open goes up a reduction tree of fixed fan-in, in pairs again. The one document that a source
+has open in the end is drawn with the chance that it is left with. What the source then misses, less than that document, is made
+up as far as smaller documents of the last group can, again in pairs; the chances of these move a little, and more
+where a source has but a few documents.
 
 Defined cases. Null or empty text: size 0, never taken. Null source: a source of its own, last in order. Rows
 that agree in doc_id, source and text get the same number of copies. Nothing depends on the order or partitioning of
@@ -17,6 +19,7 @@ the input. An empty table gives an empty result. Further columns pass through.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, fresh, key_of, small_side, stored
 
-#: Documents of a source that one task rounds together, and open documents that meet on each step up.
-GROUP, FAN_IN = 8192, 64
+#: Documents of a source that are rounded together on average, and groups whose open documents meet on each step up.
+GROUP, FAN_IN = 128, 64
 #: Sources whose totals the driver may hold; more are an error.
 MAX_SOURCES = 1_000_000
 #: Sources up to which their table is broadcast.
@@ -58,78 +61,65 @@ def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float], ratio
     return out
 
 
-def _rounding(last: bool, seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    return lambda key, rows: _round_group(key, rows, last, seed, level)
-
+def _trade(p: float, size: float, other: float, other_size: float, draw: float) -> tuple[float, float]:
+    """Both chances after a trade of words, by which at least one becomes whole; each is expected to stay as it was."""
+    up, down = min((1 - p) * size, other * other_size), min(p * size, (1 - other) * other_size)
+    move = up if draw * (up + down) < down else -down
+    p, other = p + move / size, other - move / other_size
+    return tuple(float(round(x)) if x < 1e-9 or x > 1 - 1e-9 else x for x in (p, other))
 
-def _whole(p: float) -> float:
-    return float(round(p)) if p < 1e-9 or p > 1 - 1e-9 else p
 
-
-def _against_smaller(p: float, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Rounds documents of equal fraction p, largest first: each trades with the pool of all smaller ones.
-
-    A trade ends when the document or the whole pool is integral, so what stays open is small where it can be.
-    """
-    out, rest = np.zeros(len(size)), np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
-    for i in range(len(size)):
-        pool = p * rest[i]
-        up, down = min((1 - p) * size[i], pool), min(p * size[i], rest[i] - pool)
-        if up + down <= 0:
-            out[i] = p
-            return out
-        move = up if draw[i] * (up + down) < down else -down
-        out[i] = _whole(p + move / size[i])
-        p = _whole((pool - move) / rest[i])
-        if p in (0.0, 1.0):
-            out[i + 1 :] = p
-            return out
+def rounded(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Chances of documents in order of falling size, of which one at most is left open. Needs two draws for each."""
+    out, n, draws = p.astype(float), len(p), iter(draw.tolist())
+    shared = float(out[0]) if n and (out == out[0]).all() else None  # the chance of all documents not met yet
+    rest = np.concatenate([np.cumsum(size[::-1], dtype=float)[::-1], [0.0]])
+    held, b = -1, 0
+    while b < n:
+        if shared is not None and not 0 < shared < 1:
+            out[b:] = shared
+            break
+        if held < 0:
+            held = b
+            if shared is not None:
+                out[b] = shared
+            b += 1
+        elif shared is not None and 2 * size[b] < size[held]:
+            out[held], shared = _trade(out[held], size[held], shared, rest[b], next(draws))
+            held = held if 0 < out[held] < 1 else -1
+        else:
+            out[held], out[b] = _trade(out[held], size[held], out[b] if shared is None else shared, size[b], next(draws))
+            held = next((k for k in (held, b) if 0 < out[k] < 1), -1)
+            b += 1
     return out
 
 
-def _in_pairs(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Rounds documents of any fractions: the open one trades with the next, largest first."""
-    held = -1
-    for b in range(len(p)):
-        a = held
-        if a < 0:
-            held = b
-            continue
-        up = min((1 - p[a]) * size[a], p[b] * size[b])  # words from b to a
-        down = min(p[a] * size[a], (1 - p[b]) * size[b])
-        move = up if draw[b] * (up + down) < down else -down
-        p[a], p[b] = _whole(p[a] + move / size[a]), _whole(p[b] - move / size[b])
-        held = a if 0 < p[a] < 1 else b if 0 < p[b] < 1 else -1
-    return p
+def _rounding(last: bool, seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    return lambda key, rows: _round_group(key, rows, last, seed, level)
 
 
 def _round_group(key: tuple, rows: pd.DataFrame, last: bool, seed: int, level: int) -> pd.DataFrame:
-    """Trades words inside a group until one document at most is open."""
+    """Trades words inside a group until one document at most is open; the last of a source is drawn."""
     rows = rows.sort_values(["unit", "id", "digest"], ascending=[False, True, True], kind="stable", ignore_index=True)
     p, at = rows["p"].to_numpy(copy=True), np.flatnonzero(rows["open"].to_numpy())
-    draw = np.random.default_rng([seed, level, int(key[1]), *map(ord, str(key[0])[:64])]).random(len(at))
-    size, own = rows["unit"].to_numpy(dtype=float)[at], p[at]
-    if len(at):
-        p[at] = _against_smaller(own[0], size, draw) if (own == own[0]).all() else _in_pairs(own, size, draw)
-    while last and ((p > 0) & (p < 1)).any():  # what the last one can't give goes to smaller ones
-        k = int(np.flatnonzero((p > 0) & (p < 1))[0])
-        ways = []
-        for kept in (0.0, 1.0):
-            missing = (p[k] - kept) * rows["unit"][k]
-            at = np.flatnonzero(rows["open"].to_numpy() & (np.arange(len(p)) > k) & (p == (missing < 0)))
-            size = rows["unit"].to_numpy(dtype=float)[at]
-            ways.append((size.sum() <= abs(missing), abs(missing), kept, missing, at, size))
-        short, _, p[k], missing, at, size = min(ways, key=lambda x: x[:3])
-        if not short:
-            share = abs(missing) / size.sum()
-            p[at] = _against_smaller(share if missing > 0 else 1 - share, size, draw[: len(at)])
-    rows["p"] = p
-    rows["open"] = (p > 0) & (p < 1)
+    source = zlib.crc32(str(key[0]).encode("utf-8", "surrogatepass"))
+    draws = np.random.default_rng([seed, level, int(key[1]), source])
+    size = rows["unit"].to_numpy(dtype=float)
+    p[at] = rounded(p[at], size[at], draws.random(2 * len(at)))
+    while last and len(left := np.flatnonzero((p > 0) & (p < 1))):
+        k = left[0]
+        drawn = float(draws.random() < p[k])
+        missing, p[k] = (p[k] - drawn) * size[k], drawn
+        smaller = at[(at > k) & (p[at] == (missing < 0))]
+        if len(smaller):  # they have what is missing, all of it or a share each
+            share = min(1.0, abs(missing) / size[smaller].sum())
+            p[smaller] = rounded(np.full(len(smaller), share if missing > 0 else 1 - share), size[smaller], draws.random(2 * len(smaller)))
+    rows["p"], rows["open"] = p, (p > 0) & (p < 1)
     return rows
 
 
 def copies(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, seed: int = 17
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, seed: int = 17, group: int = GROUP, fan_in: int = FAN_IN
 ) -> DataFrame:
     """doc_id, source, digest (of text and source), n_rows (equal rows), size, source_size, target, copies: a row for each distinct document."""
     spark = docs.sparkSession
@@ -153,7 +143,7 @@ def copies(
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goals = targets([(r["source"], r["words"]) for r in found], weights, ratio, cap)
-    plan = [(r["source_key"], r["words"], t, max(1, -(-r["n"] // GROUP))) for r, t in zip(found, goals, strict=True)]
+    plan = [(r["source_key"], r["words"], t, max(1, -(-r["n"] // group))) for r, t in zip(found, goals, strict=True)]
     groups = max([1, *(x[3] for x in plan)])
     table = spark.createDataFrame(plan, "source_key string, source_size long, target double, groups long")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -173,16 +163,13 @@ def copies(
     done, level = [], 0
     while True:
         last = groups == 1
-        rounded = stored(
-            rows.groupBy("source_key", "bucket").applyInPandas(_rounding(last, seed, level), rows.schema),
-            "rounded",
-        )
+        met = stored(rows.groupBy("source_key", "bucket").applyInPandas(_rounding(last, seed, level), rows.schema), "rounded")
         if last:
-            done.append(rounded)
+            done.append(met)
             break
-        done.append(rounded.where(~F.col("open")))
-        rows = rounded.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
-        groups, level = -(-groups // FAN_IN), level + 1
+        done.append(met.where(~F.col("open")))
+        rows = met.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
+        groups, level = -(-groups // fan_in), level + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
