@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
@@ -132,11 +132,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(files, dictionary)
 
 
+def _start() -> Column:
+    """Where the dated list and the captures begin, without a time zone."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _captures(pages: DataFrame) -> DataFrame:
     """Each page with a fetch time, a minute of 2024 by its page_id."""
-    minute = F.pmod(F.col("page_id") * 37, F.lit(527_040))
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60).cast("timestamp_ntz")
-    return pages.select("page_id", "url", at.alias("fetched_at"))
+    minute = F.pmod(F.col("page_id") * 100_003, F.lit(527_040)).cast("int")
+    return pages.select("page_id", "url", (_start() + F.make_dt_interval(mins=minute)).alias("fetched_at"))
 
 
 def _entries(pages: DataFrame, two_labels: bool = False) -> DataFrame:
@@ -153,7 +157,7 @@ def _entries(pages: DataFrame, two_labels: bool = False) -> DataFrame:
     rows = keys.select("key", "h", step)
     action = F.when(F.col("step") == 1, "off").when(F.col("h") % 5 == 0, "allow").otherwise("block")
     day = F.col("h") % 97 + F.col("step") * (F.lit(20) + F.col("h") % 83)
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + day * 86_400).cast("timestamp_ntz")
+    at = _start() + F.make_dt_interval(days=day.cast("int"))
     return rows.select(F.when(F.col("h") % 2 == 0, "ads").otherwise("spam").alias("list"), "key", action.alias("action"), at.alias("at"))
 
 
@@ -174,7 +178,7 @@ def op9_url_filter_site_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with parts as (
-  select page_id, url, timestamp '2024-01-01' + to_minutes((((page_id * 37) % 527040) + 527040) % 527040) as fetched_at,
+  select page_id, url, timestamp '2024-01-01' + to_minutes((((page_id * 100003) % 527040) + 527040) % 527040) as fetched_at,
     rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') as host,
     regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) as first
   from pages
