@@ -1,13 +1,16 @@
 """Exact top-k by inner product with MaxScore (operator 6).
 
-A vector is a sparse document whose terms are its dimensions, with whole-number weights. Candidates are dealt at random into
-shards; all queries stream past each shard. For a query, the largest contribution that any candidate of
-the shard can make bounds each term. Terms whose bounds together can't lift a candidate to the k-th best score so far are
-non-essential: scores are first summed over the essential terms' postings, and the other terms are probed, largest
-bound first, only for candidates that stay competitive. Each shard gives its k best for each query, and a ranking merges them.
-
-Contributions may be negative, so bounds are maxima of query weight times smallest or largest weight in the shard. Sums are
-exact: in doubles below 2 ** 53, in Python integers beyond, held to the range of a long in the result.
+A vector is a sparse document whose terms are its dimensions, with whole-number weights. Candidates are dealt at random into shards; a
+shard has two posting lists for each dimension, one of the candidates with a positive weight and one of those with a negative weight.
+For a query, the list whose sign is that of the query's weight can raise a score, by its largest product at most, its bound; the
+other can only lower one. The lists of smallest bounds that together stay below the k-th best score so far are non-essential: who stands
+in none of the others can't enter. So the essential lists are traversed, block after block of candidates, and the rest of a score
+is probed only for candidates that stay competitive. Each shard gives its k best for each query, and a ranking merges them.
+
+The k-th best score is carried on from block to block, and from one shard to all: every query is asked of the first shard before, whose
+k-th score is where the others begin. Queries travel in blocks, and where there are many in groups of blocks, each of which meets
+each shard in a task of its own. Sums are exact: in doubles below 2 ** 53, in Python integers
+beyond, held to the range of a long in the result.
 
 Defined cases. Vectors that are null, or hold null or non-finite components, take no part. An empty vector scores 0, and a
 missing dimension counts as 0. Ties go to the smaller id. Rows with the query's id are its own and no candidates.
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import bounded_batches, lean, stored
 
 SCALE = 256
-#: Candidates that a shard holds on average, and rows that are scored together.
-SHARD, ROWS = 4096, 2048
+#: Candidates that a shard holds on average, candidates that are scored together, dimensions probed together.
+SHARD, ROWS, PROBED = 8192, 2048, 16
+#: Queries in a block on average, and blocks that meet a shard in one task, for the first shard alone and for all.
+QUERIES, FIRST_BLOCKS, BLOCKS = 64, 4, 256
 _EXACT = 1 << 53
 
 
@@ -45,7 +50,7 @@ def _quantized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """The postings of some candidates, as columns of one matrix."""
+    """The posting lists of some candidates, with the vectors for probes."""
 
     def __init__(self, ids: list[int], terms: list[bytes]):
         width = max([0, *(len(x) // 8 for x in terms)])
@@ -53,12 +58,20 @@ class Shard:
         self.weights = np.zeros((len(ids), width))
         for k, x in enumerate(terms):
             self.weights[k, : len(x) // 8] = np.frombuffer(x, "<f8")
-        if len(ids):
-            self.low, self.high = self.weights.min(axis=0), self.weights.max(axis=0)
-            self.top = np.abs(self.weights).max(initial=0)
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best, best first."""
+        self.low, self.high = self.weights.min(axis=0, initial=0), self.weights.max(axis=0, initial=0)
+        self.top = np.abs(self.weights).max(initial=0)
+        self._cuts = np.arange(0, len(ids) + ROWS, ROWS)
+        self._lists = {sign: [self._list(sign * self.weights[:, d] > 0, d) for d in range(width)] for sign in (1, -1)}
+        #: Postings that queries have traversed, and that the lists they could have used hold.
+        self.traversed = self.listed = 0
+
+    def _list(self, there: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Places, weights, and where each block begins."""
+        places = np.flatnonzero(there)
+        return places, self.weights[places, d], np.searchsorted(places, self._cuts).tolist()
+
+    def best(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """(score, id) of the k best, best first; those below floor may be left out."""
         if not len(self.ids):
             return []
         width = self.weights.shape[1]
@@ -67,75 +80,114 @@ class Shard:
         if np.abs(q).max(initial=0) * self.top * max(width, 1) >= _EXACT:
             return self._large(query_id, q, k)
         bound = np.maximum(q * self.low, q * self.high)
-        floor = np.minimum(q * self.low, q * self.high)
-        order = np.argsort(floor - bound, kind="stable")  # terms that tell candidates apart most come first
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])  # most that the terms from here on can add
-        least = np.concatenate([[0.0], np.cumsum(floor[order])])  # what the terms before add at least
-        scores = np.zeros(0)
-        ids = np.zeros(0, dtype=np.int64)
-        threshold = -np.inf
-        for a in range(0, len(self.ids), ROWS):
-            block = self.weights[a : a + ROWS]
-            rows = np.flatnonzero(self.ids[a : a + ROWS] != query_id)
-            # essential terms: a candidate at their floors can't reach the threshold by the others
-            split = width if threshold == -np.inf else min(width, int(np.searchsorted(-(least + rest), -threshold, side="right")))
-            essential = np.zeros(width)
-            essential[order[:split]] = q[order[:split]]
-            partial = (block @ essential)[rows]
-            while True:
-                alive = partial + rest[split] >= threshold
-                rows, partial = rows[alive], partial[alive]
-                if split == width or not len(rows):
-                    break
-                upto = min(width, split + 8)
-                partial = partial + block[rows][:, order[split:upto]] @ q[order[split:upto]]
-                split = upto
+        order = np.argsort(bound, kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(bound[order])])  # what the lists of smallest bounds add at most
+        lists = [self._lists[1 if q[d] > 0 else -1][d] if bound[d] > 0 else None for d in range(width)]
+        self.listed += sum(len(x[0]) for x in lists if x)
+        scores, ids, threshold = np.zeros(0), np.zeros(0, dtype=np.int64), floor
+        for n, a in enumerate(range(0, len(self.ids), ROWS)):
+            split = int(np.searchsorted(sums, threshold, side="left")) - 1  # the first split lists are non-essential
+            gains = np.zeros(min(ROWS, len(self.ids) - a))
+            met = np.full(len(gains), split < 0)  # a score of nothing but losses may enter
+            split = max(0, split)
+            for d in order[split:].tolist():
+                if lists[d]:
+                    places, weights, cuts = lists[d]
+                    here = slice(cuts[n], cuts[n + 1])
+                    at = places[here] - a
+                    gains[at] += q[d] * weights[here]
+                    met[at] = True
+                    self.traversed += len(at)
+            met &= (gains + sums[split] >= threshold) & (self.ids[a : a + ROWS] != query_id)
+            rows = np.flatnonzero(met)
+            rows, found = self._probe(a + rows, gains[rows], q, bound, order, split, threshold)
             if len(rows):
-                scores, ids = np.concatenate([scores, partial]), np.concatenate([ids, self.ids[a + rows]])
+                scores, ids = np.concatenate([scores, found]), np.concatenate([ids, self.ids[rows]])
                 keep = np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[keep], ids[keep]
                 if len(scores) == k:
-                    threshold = scores[-1]
+                    threshold = max(threshold, scores[-1])
         return [(int(s), int(i)) for s, i in zip(scores, ids, strict=True)]
 
+    def _probe(self, rows: np.ndarray, partial: np.ndarray, q: np.ndarray, bound: np.ndarray, order: np.ndarray, split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The competitive ones of rows and their scores, from what the essential lists have given."""
+        gained = np.zeros(len(q), dtype=bool)
+        gained[order[split:]] = True
+        can_gain = np.where(gained, 0.0, bound)
+        can_lose = np.minimum(q * self.low, q * self.high)
+        telling = np.argsort(can_lose - can_gain, kind="stable")
+        left = np.concatenate([np.cumsum(can_gain[telling][::-1])[::-1], [0.0]])
+        for at in range(0, len(q), PROBED):
+            if not len(rows):
+                break
+            dims = telling[at : at + PROBED]
+            product = self.weights[rows[:, None], dims] * q[dims]
+            product[:, gained[dims]] = np.minimum(product[:, gained[dims]], 0.0)
+            partial = partial + product.sum(axis=1)
+            alive = partial + left[min(len(q), at + PROBED)] >= threshold
+            rows, partial = rows[alive], partial[alive]
+        return rows, partial
+
     def _large(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         own = [int(x) for x in q]
         found = [(sum(a * int(b) for a, b in zip(own, row, strict=True)), int(i)) for row, i in zip(self.weights, self.ids, strict=True) if i != query_id]
         return [(max(-(2**63), min(2**63 - 1, s)), i) for s, i in sorted(found, key=lambda x: (-x[0], x[1]))[:k]]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows of vec_id, embedding in queries."""
-    shape = "vec_id long, terms binary"
-
-    def read(df: DataFrame) -> DataFrame:
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_quantized, shape)
-
-    found = stored(read(candidates), "candidates")
-    asked = stored(read(queries).distinct(), "asked")
-    shards = max(1, -(-found.count() // SHARD))
-    rows = found.select((F.rand(3) * shards).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "terms")
-    rows = rows.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True), "vec_id", "terms"))
-    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks")
+def _scored(candidates: DataFrame, asked: DataFrame, shards: int, k: int, together: int) -> DataFrame:
+    """query_id, terms, vec_id, score of the k best of each shard, for asked with its floors."""
+    blocks = max(1, -(-asked.count() // QUERIES))
+    groups = -(-blocks // together)
+    each = F.collect_list(F.struct("vec_id", "terms", "floor")).alias("q")
+    block = F.pmod(F.xxhash64("vec_id", "terms"), F.lit(blocks))
+    queries = asked.groupBy(block.alias("block")).agg(each).select(
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(groups)).cast("int").alias("group"), F.lit(True).alias("asks"),
+        F.col("q.vec_id").alias("ids"), F.col("q.terms").alias("terms"), F.col("q.floor").alias("floors"),
+    )
+    held = candidates.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("asks"),
+        F.array("vec_id").alias("ids"), F.array("terms").alias("terms"), F.array(F.lit(None).cast("double")).alias("floors"),
+    )
+    rows = held.unionByName(queries).repartitionByRange(shards * groups, "shard", "group").sortWithinPartitions("shard", "group", "asks")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, terms, shard = None, [], [], None
         for batch in batches:
             out: list[tuple[int, bytes, int, int]] = []
-            for number, asks, vec_id, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != at:
-                    at, ids, terms, shard = number, [], [], None
+            for number, group, asks, some, own, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (number, group) != at:
+                    at, ids, terms, shard = (number, group), [], [], None
                 if not asks:
-                    ids.append(vec_id)
-                    terms.append(own)
+                    ids += some
+                    terms += own
                     continue
                 if shard is None:
                     shard = Shard(ids, terms)
-                out += [(vec_id, own, i, s) for s, i in shard.best(vec_id, np.frombuffer(own, "<f8"), k)]
+                for query_id, query, floor in zip(some, own, floors, strict=True):
+                    out += [(query_id, query, i, s) for s, i in shard.best(query_id, np.frombuffer(query, "<f8"), k, -np.inf if floor is None else floor)]
             if out:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "terms", "vec_id", "score"])
 
-    best = rows.mapInArrow(score, "query_id long, terms binary, vec_id long, score long")
+    return rows.mapInArrow(lean(score), "query_id long, terms binary, vec_id long, score long")
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows of vec_id, embedding in queries."""
+    bounded_batches(queries.sparkSession)
+    shape = "vec_id long, terms binary"
+
+    def read(df: DataFrame) -> DataFrame:
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lean(_quantized), shape)
+
+    found = stored(read(candidates), "candidates")
+    asked = stored(read(queries).distinct(), "asked").withColumn("floor", F.lit(None).cast("double"))
+    shards = max(1, -(-found.count() // shard))
+    dealt = found.withColumn("shard", (F.rand(3) * shards).cast("int"))
+    if shards > 1:  # the first shard's k-th score is where all others begin
+        begun = _scored(dealt.where("shard = 0"), asked, 1, k, FIRST_BLOCKS).groupBy("query_id", "terms").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        begun = begun.select(F.col("query_id").alias("vec_id"), "terms", F.when(F.col("n") == k, F.col("least")).cast("double").alias("floor"))
+        asked = stored(asked.drop("floor").join(begun, ["vec_id", "terms"], "left"), "asked-from")
+    best = _scored(dealt, asked, shards, k, BLOCKS)
     order = Window.partitionBy("query_id", "terms").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
