@@ -1,10 +1,13 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products (operator 5).
 
 Equal vectors of a label are one weighted unit. Spherical k-means, fitted on a bounded sample of units, gives each unit
-its cell, that of the centroid with the largest cosine. Two unit vectors of cosine >= t are at most
-chord = sqrt(2 - 2t) apart, so where x lives in cell a and y in cell b > a, y.(c_b - c_a) <= chord * |c_b - c_a|: y
-visits every smaller cell for which that holds, and no link is lost between cells. Inside a cell, blocks of BLOCK units
-at most are multiplied pairwise; each block gives link counts and a spanning forest of the links, never the pairs.
+its cell, that of the centroid with the largest cosine. The number of cells grows with the largest label: with its root at first, then
+in proportion. Beyond TOP cells there are two levels: each top cell has cells of its own, fitted on a bounded sample of its units.
+Two unit vectors of cosine >= t are at most chord = sqrt(2 - 2t) apart, so where x lives in cell a and y in cell b > a,
+y.(c_b - c_a) <= chord * |c_b - c_a|: y visits every smaller cell for which that holds, and no link is lost between cells; the same
+holds once more for the cells inside a top cell. Inside a cell, blocks of BLOCK units at most are multiplied pairwise, and a pair counts
+where one of the two is at home, on each level; each block gives link counts and a spanning forest of the links, never the pairs.
+Cosines are taken of unit vectors, and once more from the vectors themselves where they lie within 1e-9 of the threshold.
 Components of the forests give the groups, and the smallest vec_id of a group is kept.
 
 Defined cases. A vector that is null, empty, zero, or holds null or non-finite components, and any vector with a null
@@ -23,18 +26,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import hash_sample, stored
+from quern.llm.common import bounded_batches, hash_sample, lean, small_side, stored
 from quern.llm.graph import components
 
-#: Units that the cells are fitted on at most, cells at most, and units that a cell should hold on average.
-SAMPLE, MAX_CELLS, PER_CELL = 8192, 512, 4096
+#: Units that the top cells are fitted on at most, those that the cells inside one are, and units of a label that a cell should hold.
+SAMPLE, SAMPLE_INSIDE, PER_CELL = 8192, 4096, 4096
+#: Top cells, and cells inside one, at most.
+TOP = 128
 #: Units on either side of one block product.
 BLOCK = 2048
 
 
+def cells_for(units: int) -> int:
+    """Cells for so many units of one label: some root of them at first, later one for each PER_CELL."""
+    return 1 + math.ceil(max(math.sqrt(units) / 8, units / PER_CELL))
+
+
 def fit_cells(units: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Unit centroids of spherical k-means."""
     if len(units) == 0 or k < 2:
@@ -49,21 +59,38 @@ def fit_cells(units: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
     return cells
 
 
-def visits(units: np.ndarray, cells: np.ndarray, chord: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def visits(units: np.ndarray, cells: np.ndarray, chord: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cell, rows and whether they live there, for each cell: all that may take part in a link of that cell."""
     cosines = units @ cells.T
     home = np.argmax(cosines, axis=1)
     at_home = cosines[np.arange(len(units)), home]
-    apart = np.linalg.norm(cells[:, None, :] - cells[None, :, :], axis=2) if len(cells) <= 256 else None
     for cell in range(len(cells)):
-        gap = apart[home, cell] if apart is not None else np.linalg.norm(cells[home] - cells[cell], axis=1)
+        gap = np.linalg.norm(cells - cells[cell], axis=1)[home]
         here = (home == cell) | ((home > cell) & (at_home - cosines[:, cell] <= chord * gap + 1e-9))
         rows = np.flatnonzero(here)
         if len(rows):
-            yield np.full(len(rows), cell), rows, home[rows] == cell
+            yield cell, rows, home[rows] == cell
+
+
+def placed_in(units: np.ndarray, top: np.ndarray, inside: dict[int, np.ndarray], chord: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of a cell, rows, and their homes as bits: 1 at home in the top cell, 2 in the cell inside."""
+    for cell, rows, home in visits(units, top, chord):
+        own = inside.get(cell)
+        if own is None:
+            yield cell * TOP, rows, home + np.int8(2)
+        else:
+            for small, some, lives in visits(units[rows], own, chord):
+                yield cell * TOP + small, rows[some], home[some] + np.int8(2) * lives
+
 
+def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, scaled to length 1; first by a power of two, so that squares stay in range."""
+    v = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0))[1])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-def _units(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _units(names: list[str], kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels, lists = batch.columns
@@ -71,16 +98,14 @@ def _units(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for label, item in zip(labels.to_pylist(), lists, strict=True):
                 v = None
                 if label is not None and item.is_valid and len(item) and item.values.null_count == 0:
-                    v = item.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no -0.0
+                    v = item.values.to_numpy(zero_copy_only=False).astype(kind) + 0.0  # no -0.0
                 if v is None or not np.isfinite(v).all() or not v.any():
-                    digest, unit = None, None
+                    digest, v = None, None
                 else:
                     digest = hashlib.blake2b(repr(label).encode() + b"\0" + v.tobytes(), digest_size=16).hexdigest()
-                    v /= np.abs(v).max()  # before squares, which could leave the range
-                    unit = (v / np.linalg.norm(v)).astype("<f8").tobytes()
                 digests.append(digest)
-                vectors.append(unit)
-                dims.append(0 if unit is None else len(v))
+                vectors.append(None if v is None else v.astype(kind).tobytes())
+                dims.append(0 if v is None else len(v))
             cols = [ids, labels, pa.array(digests, pa.string()), pa.array(dims, pa.int32()), pa.array(vectors, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -100,13 +125,19 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def _product(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _product(threshold: float, kind: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[-2]), int(key[-1])
-        v = np.frombuffer(b"".join(rows["vec"]), dtype="<f8").reshape(len(rows), -1)
+        raw = rows["vec"].tolist()
+        v = unit_vectors(raw, kind)
         home, side, weight = rows["home"].to_numpy(), rows["chunk"].to_numpy(), rows["weight"].to_numpy()
-        near = v @ v.T >= threshold
-        near &= home[:, None] | home[None, :]
+        cosines = v @ v.T
+        near = cosines >= threshold
+        for a, b in np.argwhere(np.triu(np.abs(cosines - threshold) <= 1e-9)).tolist():
+            x, y = np.frombuffer(raw[a], kind).astype(np.float64), np.frombuffer(raw[b], kind).astype(np.float64)
+            x, y = (np.ldexp(z, -np.frexp(np.abs(z).max())[1]) for z in (x, y))
+            near[a, b] = near[b, a] = (x @ y) / math.sqrt((x @ x) * (y @ y)) >= threshold
+        near &= (home[:, None] | home[None, :]) == 3
         if i != j:
             near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
@@ -118,54 +149,77 @@ def _product(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return multiply
 
 
+def fitted(units: DataFrame, most: int, kind: str) -> dict[int, tuple[np.ndarray, dict[int, np.ndarray]]]:
+    """By length of vectors: the top cells, and the cells inside each where there are two levels."""
+    k = cells_for(most)
+    place = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
+    sample = hash_sample(units.select("digest", "dim", "vec"), place, SAMPLE).collect()
+    sample.sort(key=lambda r: r["digest"])
+    top = {dim: fit_cells(unit_vectors([bytes(r["vec"]) for r in sample if r["dim"] == dim], kind), min(k, TOP)) for dim in {r["dim"] for r in sample}}
+    if k <= TOP:
+        return {dim: (cells, {}) for dim, cells in top.items()}
+    inside = min(TOP, -(-k // TOP))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cell = [int(np.argmax(unit_vectors([x], kind) @ top[d].T)) if d in top else -1 for d, x in zip(dims, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["digest", "dim", "vec", "cell"])
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("digest")
+        cells = fit_cells(unit_vectors(rows["vec"].tolist(), kind), inside)
+        return pd.DataFrame({"dim": rows["dim"].iloc[:1], "cell": rows["cell"].iloc[:1], "cells": [cells.astype("<f8").tobytes()]})
+
+    n = units.count()
+    some = units.select("digest", "dim", "vec").where(F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int(min(1.0, TOP * SAMPLE_INSIDE / n) * (1 << 30)))
+    some = some.mapInArrow(lean(homes), "digest string, dim int, vec binary, cell int").where("cell >= 0")
+    share = F.count("*").over(Window.partitionBy("dim", "cell"))
+    some = some.withColumn("_n", share).where(F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_INSIDE) / F.col("_n")) * (1 << 30))
+    found = some.select("digest", "dim", "vec", "cell").groupBy("dim", "cell").applyInPandas(fit, "dim int, cell int, cells binary").collect()  # TOP rows for each length
+    return {dim: (cells, {r["cell"]: np.frombuffer(r["cells"]).reshape(-1, dim) for r in found if r["dim"] == dim}) for dim, cells in top.items()}
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vec_id, label, embedding."""
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     names = ["vec_id", "label", "digest", "dim", "vec"]
     label = vectors.schema["label"].dataType.simpleString()
+    kind, number = ("<f4", "float") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else ("<f8", "double")
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding")
-    ).mapInArrow(_units(names), f"vec_id long, label {label}, digest string, dim int, vec binary")
+        F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast(f"array<{number}>").alias("embedding")
+    ).mapInArrow(lean(_units(names, kind)), f"vec_id long, label {label}, digest string, dim int, vec binary")
     rows = stored(rows, "vectors")
     units = stored(
         rows.where("digest is not null").groupBy("digest", "label", "dim")
         .agg(F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("vec_id").alias("least")),
         "units",
     )
-    n = units.count()
-    k = max(1, min(MAX_CELLS, n // PER_CELL))
-    place = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
-    sample = hash_sample(units.select("digest", "dim", "vec"), place, SAMPLE).collect() if k > 1 else []
-    sample.sort(key=lambda r: r["digest"])
-    cells: dict[int, np.ndarray] = {}
-    for dim in {r["dim"] for r in sample}:
-        cells[dim] = fit_cells(np.stack([np.frombuffer(r["vec"], "<f8") for r in sample if r["dim"] == dim]), k)
+    most = units.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     chord = math.sqrt(max(0.0, 2 - 2 * threshold))
+    cells = units.sparkSession.sparkContext.broadcast(fitted(units, most, kind))  # TOP * TOP centroids for each length at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 dims = batch.column(2).to_numpy()
                 for dim in np.unique(dims):
-                    here = np.flatnonzero(dims == dim)
-                    part = batch.take(pa.array(here))
-                    v = np.frombuffer(b"".join(part.column(3).to_pylist()), "<f8").reshape(-1, dim)
-                    found = list(visits(v, cells.get(int(dim), np.zeros((1, int(dim)))), chord))
-                    cell, took, home = (np.concatenate(x) for x in zip(*found, strict=True))
-                    cols = part.take(pa.array(took)).columns
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(cell, pa.int32()), pa.array(home)], ["digest", "label", "dim", "vec", "weight", "cell", "home"])
+                    part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    top, inside = cells.value.get(int(dim), (np.zeros((1, int(dim))), {}))
+                    for cell, took, home in placed_in(unit_vectors(part.column(3).to_pylist(), kind), top, inside, chord):
+                        cols = part.take(pa.array(took)).columns
+                        number = pa.array(np.full(len(took), cell), pa.int32())
+                        yield pa.RecordBatch.from_arrays([*cols, number, pa.array(home, pa.int8())], ["digest", "label", "dim", "vec", "weight", "cell", "home"])
 
     placed = stored(
         units.select("digest", "label", "dim", "vec", "weight")
-        .mapInArrow(assign, f"digest string, label {label}, dim int, vec binary, weight long, cell int, home boolean"),
+        .mapInArrow(lean(assign), f"digest string, label {label}, dim int, vec binary, weight long, cell int, home byte"),
         "placed",
     )
     key = ["label", "dim", "cell"]
     sizes = placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / BLOCK))
-    sizes = stored(sizes, "cell-sizes")
-    if sizes.count() <= 100_000:
-        sizes = F.broadcast(sizes)
+    sizes = small_side(stored(sizes, "cell-sizes"))
     chunk = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.col("chunks")).cast("int")
     pairs = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
     blocks = (
@@ -177,7 +231,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         .drop("n", "chunks", "other")
     )
     found = stored(
-        blocks.groupBy(*key, "i", "j").applyInPandas(_product(threshold), "digest string, links long, root string"), "found"
+        blocks.groupBy(*key, "i", "j").applyInPandas(_product(threshold, kind), "digest string, links long, root string"), "found"
     )
     groups = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
