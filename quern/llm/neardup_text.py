@@ -1,17 +1,19 @@
 """N-gram Jaccard join of documents with a count-vector R-tree (operator 2).
 
 1. Each text's set of five-word shingles is hashed once; documents with equal sets are one unit.
-2. Units meet in blocks by shared shingles of a bottom sketch, the KEYS smallest hashes of a set. Hashes order shingles at random, so
-   a linked pair shares none of them with a chance of at most 0.25 ** 32 = 5e-20, like that of two equal 64-bit hashes;
+2. Under the root of the tree stand single shingles: a unit goes down to those of its bottom sketch, the KEYS smallest hashes of a set. A
+   linked pair shares none of them with a chance of at most 0.25 ** 32 = 5e-20, like that of two equal 64-bit hashes;
    sets of 124 shingles or fewer have the exact prefix length. Very frequent shingles (estimated from a sample; this touches
    speed, never results) are passed over by units that have few of them: of its first SKETCH hashes 30 % at most.
-3. In each block a count-vector R-tree bounds overlaps by summed coordinate minima. It gives a spanning forest of the
-   pairs that could be linked, never all pairs; forests join to classes.
+3. Below each shingle is an R-tree of count vectors, with nodes of several levels. Summed coordinate minima bound the overlap of nodes, then of sets;
+   what is found is a spanning forest of the pairs that could be linked, never all pairs. Forests join to classes.
 4. In each class, sets meet once more under a finer tree, and pairs that survive its bound are verified by exact
    intersection, pairs already joined being skipped. The links found join to components.
 
-Blocks and classes of any size are dealt into chunks and every two chunks meet in a task of their own, so no task holds a
-whole large group and no link is lost. Keys with the same members are one block.
+A subtree or class is dealt into chunks of bounded rows and bytes, so no task holds a whole large group, and no link is lost:
+chunks are joined alone; then one member of each component of a chunk meets those of other chunks, until that joins no more; then
+only members of different components are left to meet, chunk by chunk. So a large group of like documents costs about as much as
+its rows, and not their square. Shingles with the same members are one subtree.
 
 Defined cases. Null, empty or blank text: an empty set, n_shingles 0, alone in its component. Fewer than five words: one shingle of all of
 them. Rows that repeat a doc_id or a text are linked by their equal sets. A null doc_id is never a component's
@@ -22,31 +24,31 @@ an empty result. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, fresh, partitions, small_side, stored
+from quern.llm.common import bounded_batches, discard, fresh, lean, slices, small_side, stored
 from quern.llm.count_tree import count_vector, forest, groups_for
 from quern.llm.graph import components
 from quern.llm.shingles import grouped_sets
-from quern.llm.token_files import slices
 
 KEYS, SKETCH = 32, 64
 #: Shingles in about this many of every HOT_SAMPLE-th unit's sketches are frequent; at most MAX_HOT of them are told apart.
 HOT_SAMPLE, HOT_COUNT, MAX_HOT = 8, 48, 500_000
-#: Members of a block chunk; members and bytes of sets of a class chunk.
-BLOCK_CHUNK, CLASS_CHUNK, CLASS_BYTES = 8192, 4096, 16 << 20
+#: Members and bytes of a chunk, about.
+CHUNK, CHUNK_BYTES = 1024, 8 << 20
 
 
 def _sketches():
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_hash", "n", "digest", "keys", "vec"]
         for batch in batches:
-            for piece in slices(batch, 1024):
+            for piece in slices(batch, 1024, "text"):
                 sets = grouped_sets(piece.column(2).to_pylist())
                 cols = [
                     piece.column(0),
@@ -61,10 +63,11 @@ def _sketches():
     return read
 
 
-def _keys(hot: np.ndarray, percent: int):
-    """The block keys of units."""
+def _keys(frequent: Broadcast, percent: int):
+    """The shingles under which units stand."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = frequent.value
         for batch in batches:
             for piece in slices(batch, 4096):
                 out_keys, out_units = [], []
@@ -108,61 +111,114 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
         yield held
 
 
-def _edges(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _bound(percent: int) -> Callable[..., np.ndarray]:
+    """Components of units by the bound of their vectors."""
 
+    def join(side: np.ndarray, joined: np.ndarray, size: list[int], vec: list[bytes]) -> np.ndarray:
+        return forest(np.array(size), [np.frombuffer(v, np.uint8) for v in vec], percent, side=side, joined=joined)
 
-def _block_links(percent: int):
-    """Candidate forests of blocks: key, i, j, chunk, digest, n, vec."""
+    return join
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
-        for _, i, j, chunk, digest, n, vec in runs(batches, 3):
-            if len(n) > 1:
-                side = np.array(chunk) if i[0] != j[0] else None
-                found = forest(np.array(n), [np.frombuffer(v, np.uint8) for v in vec], percent, side=side)
-                out += [(digest[a], digest[b]) for a, b in found]
-            if len(out) > 20_000:
-                yield _edges(out)
-                out = []
-        yield _edges(out)
 
-    return read
+def _verified(percent: int) -> Callable[..., np.ndarray]:
+    """Components of sets by exact intersection."""
+
+    def join(side: np.ndarray, joined: np.ndarray, size: list[int], tokens: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+
+        def linked(a: int, b: int) -> bool:
+            x, y = sets[a], sets[b]
+            merged = np.concatenate([x, y])
+            merged.sort()
+            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        return forest(np.array(size), [count_vector(s, groups_for(len(s), 2)) for s in sets], percent, linked, side, joined)
 
+    return join
 
-def _class_links(percent: int):
-    """Verified forests of classes: class, i, j, chunk, digest, tokens."""
+
+def _meetings(join: Callable[..., np.ndarray]):
+    """Links of rows (group, chunk, side, label, digest, size, payload), a meeting being the rows of a group and chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        for _, i, j, chunk, digest, tokens in runs(batches, 3):
-            sets = [np.frombuffer(t, np.uint64) for t in tokens]
-
-            def linked(a: int, b: int, sets: list[np.ndarray] = sets) -> bool:
-                x, y = sets[a], sets[b]
-                merged = np.concatenate([x, y])
-                merged.sort()
-                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                return 100 * both >= percent * (len(x) + len(y) - both)
-
-            if len(sets) > 1:
-                vectors = [count_vector(s, groups_for(len(s), 2)) for s in sets]
-                side = np.array(chunk) if i[0] != j[0] else None
-                out += [(digest[a], digest[b]) for a, b in forest(np.array([len(s) for s in sets]), vectors, percent, linked, side)]
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for _, _, side, label, digest, size, payload in runs(batches, 2):
+            if len(digest) > 1:
+                joined = np.unique(np.array(label, dtype=object), return_inverse=True)[1]
+                sides = np.array(side) if len(set(side)) > 1 else None
+                component = join(sides, joined, size, payload)
+                if len(np.unique(component)) < len(np.unique(joined)):
+                    least: dict[int, bytes] = {}
+                    for c, d in zip(component.tolist(), digest, strict=True):
+                        least[c] = min(d, least.get(c, d))
+                    out += [(d, least[c]) for c, d in zip(component.tolist(), digest, strict=True) if d != least[c]]
             if len(out) > 20_000:
-                yield _edges(out)
-                out = []
-        yield _edges(out)
+                yield flush()
+        yield flush()
 
     return read
 
 
-def _paired(rows: DataFrame, key: str, chunks: str) -> DataFrame:
-    """Each row once for every two chunks of its key that meet and hold it; columns chunk, i, j."""
-    chunk = F.pmod(F.xxhash64("digest"), F.col(chunks)).cast("int")
-    rows = rows.withColumn("chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(chunks).cast("int") - 1)))
-    return rows.withColumn("i", F.least("chunk", "_other")).withColumn("j", F.greatest("chunk", "_other"))
+def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarray], chunk: int | None = None) -> DataFrame:
+    """a, b: links that join what join() joins among the members of each group, as a star for each component that meets.
+
+    Members has group, digest, chunks (how many the group needs); payload has digest, size, payload, once for each digest.
+    """
+    chunk = chunk or CHUNK
+
+    def meet(rows: DataFrame) -> DataFrame:
+        rows = rows.join(payload, "digest").select("group", "chunk", "side", "label", "digest", "size", "payload")
+        rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk")
+        return stored(rows.mapInArrow(lean(_meetings(join)), "a binary, b binary"), "links")
+
+    def relabelled(held: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of the groups that have more than one label, with these."""
+        found = held.join(components(links.join(held.select(F.col("digest").alias("a")).distinct(), "a", "left_semi")).withColumnRenamed("id", "digest"), "digest", "left")
+        found = found.select("group", "digest", F.coalesce("component", "digest").alias("label"))
+        many = found.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+        return stored(found.join(many, "group", "left_semi"), "held")
+
+    def dealt(chunks: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("digest", F.lit(salt)), chunks).cast("long")
+
+    alone = [F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"]
+    links = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), *alone))
+    held = members.where("chunks > 1").select("group", "digest")
+    if held.isEmpty():
+        return links
+    held, before = relabelled(held, links), None
+    while True:  # one member of each component of a group, dealt anew
+        first = held.groupBy("group", "label").agg(F.min("digest").alias("digest"))
+        each = first.groupBy("group").agg(F.count("*").alias("n"))
+        left = each.agg(F.sum("n")).first()[0]
+        if not left or (before and 2 * left > before):
+            break
+        first = first.join(each, "group").select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest")
+        links, before = links.unionByName(meet(first)), left
+        held = relabelled(held, links)
+    if not left:
+        return links
+    # members of different components: a large component has chunks of its own, small ones share chunks
+    counts = held.groupBy("group", "label").agg(F.count("*").alias("n"))
+    small = counts.groupBy("group").agg(F.sum(F.when(F.col("n") < chunk, F.col("n")).otherwise(0)).alias("rest"))
+    owner = F.when(F.col("n") >= chunk, F.col("label")).otherwise(F.lit(b""))
+    number = F.when(F.col("n") >= chunk, dealt(F.ceil(F.col("n") / chunk), 2)).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / chunk)))
+    held = stored(held.join(counts.join(small, "group"), ["group", "label"]).select("group", "label", "digest", owner.alias("owner"), number.alias("number")), "owned")
+    one = held.select("group", "owner", "number").distinct()
+    two = one.select("group", F.col("owner").alias("owner2"), F.col("number").alias("number2"))
+    apart = (F.col("owner") < F.col("owner2")) | ((F.col("owner") == b"") & (F.col("owner2") == b"") & (F.col("number") <= F.col("number2")))
+    pairs = stored(one.join(two, "group").where(apart).withColumn("chunk", F.monotonically_increasing_id()), "chunk-pairs")
+    left_side = pairs.select("group", "owner", "number", "chunk", F.lit(0).alias("side"))
+    right_side = pairs.where("owner <> owner2 or number <> number2").select("group", F.col("owner2").alias("owner"), F.col("number2").alias("number"), "chunk", F.lit(1).alias("side"))
+    rows = held.join(left_side.unionByName(right_side), ["group", "owner", "number"])
+    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest")))
 
 
 def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -194,54 +250,62 @@ def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, n, component (null without words), component_id."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = stored(texts.mapInArrow(_sketches(), "doc_id long, text_hash long, n long, digest binary, keys array<long>, vec binary"), "sketches")
+    rows = stored(texts.mapInArrow(lean(_sketches()), "doc_id long, text_hash long, n long, digest binary, keys array<long>, vec binary"), "sketches")
     units = stored(
         rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "keys", "vec")).alias("s"))
         .select("digest", "least", "s.*"),
         "units",
     )
-    hot = (
-        units.where(F.pmod(F.xxhash64("digest"), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("key"))
-        .groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(MAX_HOT).collect()
-    )
-    hot_keys = np.array(sorted(r["key"] for r in hot), dtype=np.int64)
-    keyed = stored(units.select("digest", "n", "keys").mapInArrow(_keys(hot_keys, percent), "key long, digest binary"), "keys")
-    # two hashes of the set of members: keys with the same members are one block
-    same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), *same)
-    shared = shared.where("members > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key"))
-    shared = stored(shared.select("key", F.ceil(F.col("members") / BLOCK_CHUNK).alias("chunks")), "blocks")
-    blocks = stored(keyed.join(shared, "key"), "block-members").join(units.select("digest", "n", "vec"), "digest")
-    blocks = _paired(blocks, "key", "chunks").select("key", "i", "j", "chunk", "digest", "n", "vec")
-    blocks = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    candidates = stored(blocks.mapInArrow(_block_links(percent), "a binary, b binary"), "candidates")
-    discard(keyed)
-    classes = stored(components(candidates).join(units.select(F.col("digest").alias("id"), "least", "n"), "id"), "classes")
+    classes = stored(_classes(units, percent).join(units.select(F.col("digest").alias("id"), "least", "n"), "id"), "classes")
     weight = classes.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8).alias("bytes"))
-    weight = stored(weight.select("component", F.greatest(F.lit(1), F.ceil(F.col("members") / CLASS_CHUNK), F.ceil(F.col("bytes") / CLASS_BYTES)).alias("chunks")), "class-sizes")
-    members = stored(classes.join(weight, "component").select("component", F.col("id").alias("digest"), "least", "chunks"), "class-members")
+    weight = stored(weight.select("component", _chunks().alias("chunks")), "class-sizes")
+    members = stored(classes.join(weight, "component").select(F.col("component").alias("group"), F.col("id").alias("digest"), "least", "chunks"), "class-members")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1024):
+            for piece in slices(batch, 1024, "text"):
                 sets = [s for s in grouped_sets(piece.column(2).to_pylist()) if len(s)]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "tokens"])
+                cols = [pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["digest", "size", "payload"])
 
     # only texts that stand for a unit of a class are read again
     chosen = small_side(stored(members.select("least").distinct(), "chosen"))
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = texts.mapInArrow(again, "digest binary, tokens binary").groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    paired = _paired(members.join(sets, "digest"), "component", "chunks").select("component", "i", "j", "chunk", "digest", "tokens")
-    paired = paired.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = stored(paired.mapInArrow(_class_links(percent), "a binary, b binary"), "links")
-    found = components(links).withColumnRenamed("id", "digest")
+    sets = texts.mapInArrow(lean(again), "digest binary, size long, payload binary").groupBy("digest").agg(F.first(F.struct("size", "payload")).alias("s"))
+    sets = stored(sets.select("digest", "s.*"), "sets")
+    found = components(linked(members.select("group", "digest", "chunks"), sets, _verified(percent))).withColumnRenamed("id", "digest")
+    discard(sets)
     member = stored(units.select("digest", "least").join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "members")
     least = stored(member.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     each = stored(member.join(least, "component").select("digest", "component", "component_id"), "each")
     joined = rows.select("doc_id", "text_hash", "n", "digest").join(each, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "text_hash", "n", "component", component.alias("component_id"))
+
+
+def _chunks() -> Column:
+    """Chunks for so many members and bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.col("members") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES))
+
+
+def _classes(units: DataFrame, percent: int) -> DataFrame:
+    """id, component: units that the tree's bounds join, directly or not."""
+    hot = (
+        units.where(F.pmod(F.xxhash64("digest"), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+        .groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(MAX_HOT).collect()
+    )
+    frequent = units.sparkSession.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot), dtype=np.int64))  # 4 MB at most
+    keyed = stored(units.select("digest", "n", "keys").mapInArrow(lean(_keys(frequent, percent)), "key long, digest binary"), "keys")
+    # two hashes of the set of members: shingles with the same members are one subtree
+    same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), *same)
+    shared = stored(shared.where("members > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "subtrees")
+    held = stored(keyed.join(shared, "key"), "subtree-members")
+    discard(keyed)
+    vectors = units.select("digest", F.col("n").alias("size"), F.col("vec").alias("payload"))
+    weight = held.join(units.select("digest", F.length("vec").alias("w")), "digest").groupBy("key").agg(F.count("*").alias("members"), F.sum("w").alias("bytes"))
+    members = stored(held.join(weight.select("key", _chunks().alias("chunks")), "key").select(F.col("key").alias("group"), "digest", "chunks"), "tree-members")
+    return components(linked(members, vectors, _bound(percent)))
