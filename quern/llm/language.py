@@ -11,7 +11,7 @@ own, so the driver receives its piece probabilities only. Prediction reads every
 
 Defined cases. Null text or text without a letter: 'und' with score 0. Null languages are not learned from; with
 none to learn, all is 'und'. Letters outside the vocabulary have one small probability in all languages. Runs of more than RUN letters
-are cut every RUN letters. Equal likelihoods go to the first language in code point order. Rows keep their number;
+are cut every RUN letters, and only the first part begins a word. Equal likelihoods go to the first language in code point order. Rows keep their number;
 columns other than doc_id, text and lang are ignored.
 """
 
@@ -20,16 +20,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.token_files import slices
+from quern.llm.common import bounded_batches, lean, slices
 
 PER_LANGUAGE, MAX_LANGUAGES, ROUNDS = 600, 256, 3
 RUN = 32
+#: Bytes of remembered likelihoods in a worker.
+TABLE_BYTES = 32 << 20
 #: Length of the longest piece that can occur, that of a whole run and its start: no piece of the vocabulary is left out.
 PIECE = RUN + 1
 UNKNOWN = "und"
@@ -91,10 +94,16 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """The pieces, read once by each worker process."""
+    return Pieces(path)
+
+
 def _padded(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) + 1 for r in runs])
+    lengths = np.array([len(r) for r in runs])
     codes = np.zeros((len(runs), lengths.max()), dtype=np.int64)
-    flat = np.frombuffer((_START + _START.join(runs)).encode("utf-32-le"), dtype="<u4")
+    flat = np.frombuffer("".join(runs).encode("utf-32-le"), dtype="<u4")
     codes[np.arange(codes.shape[1]) < lengths[:, None]] = flat
     return codes, lengths
 
@@ -130,7 +139,7 @@ def likelihoods(runs: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndar
     return out
 
 
-def fit(words: list[tuple[str, int, int]], languages: int, pieces: Pieces) -> np.ndarray:
+def fit(words: list[tuple[str, int, int]], languages: int, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by language from (run of letters, language, count)."""
     runs = sorted({w for w, _, _ in words})
     where = {w: k for k, w in enumerate(runs)}
@@ -138,7 +147,7 @@ def fit(words: list[tuple[str, int, int]], languages: int, pieces: Pieces) -> np
     for w, language, n in words:
         times[where[w], language] += n
     chances = np.full((pieces.size, languages), 1 / pieces.size)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         counts = np.zeros_like(chances)
         for at in _groups(runs):
             codes, lengths = _padded([runs[k] for k in at])
@@ -163,18 +172,19 @@ def fit(words: list[tuple[str, int, int]], languages: int, pieces: Pieces) -> np
 
 
 def runs_of(token: str) -> list[str]:
-    """Runs of letters of a token, of RUN letters at most."""
+    """Runs of letters of a token, with a mark in front; of longer runs, parts of RUN letters, the first with the mark."""
     found = _RUNS.findall(token)
     if not all(map(str.isalpha, found)):  # numbers that are no digits
         found = "".join(c if c.isalpha() else " " for c in token).split()
-    return [r[k : k + RUN] for r in found for k in range(0, len(r), RUN)]
+    return [r[k : k + RUN] if k else _START + r[:RUN] for r in found for k in range(0, len(r), RUN)]
 
 
 class Scorer:
     """Predicts texts; remembers the likelihoods of a bounded number of tokens."""
 
     def __init__(self, languages: list[str], chances: np.ndarray, pieces: Pieces, remembered: int = 200_000):
-        self._languages, self._chances, self._pieces, self._limit = languages, chances, pieces, remembered
+        self._languages, self._chances, self._pieces = languages, chances, pieces
+        self._limit = min(remembered, TABLE_BYTES // (8 * len(languages) + 8))
         self._forget()
 
     def _forget(self) -> None:
@@ -201,7 +211,7 @@ class Scorer:
         out, scores, at = [], [], 0
         while at < len(texts):
             split, chars = [], 0
-            while at < len(texts) and chars < 2_000_000:
+            while at < len(texts) and chars < 1_000_000:
                 split.append(texts[at].lower().split())
                 chars += len(texts[at])
                 at += 1
@@ -233,6 +243,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, training: Column, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, from the rows of docs for which training holds."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.where(training & F.col("lang").isNotNull())
     found = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -242,20 +253,21 @@ def train(docs: DataFrame, training: Column, path: str | None = None) -> tuple[l
         return [], np.zeros((0, 0))
     cut = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(cut, F.col("lang")) * 1_000_003)
-    words = chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = chosen.select("lang", "text").mapInArrow(lean(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     path = path or default_vocabulary()
 
     def fit_one(found: pa.Table) -> pa.Table:
-        chances = fit([(w, 0, n) for w, n in zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)], 1, Pieces(path))
+        chances = fit([(w, 0, n) for w, n in zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)], 1, pieces_of(path))
         return pa.table({"lang": found["lang"][:1], "chances": pa.array([chances[:, 0].tobytes()], pa.binary())})
 
     fitted = {r["lang"]: np.frombuffer(r["chances"]) for r in words.groupBy("lang").applyInArrow(fit_one, "lang string, chances binary").collect()}
-    wordless = fit([], 1, Pieces(path))[:, 0]
+    wordless = fit([], 1, pieces_of(path))[:, 0]
     return languages, np.stack([fitted.get(x, wordless) for x in languages], axis=1)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """All columns of docs with lang_pred and lang_score beside them, in place of columns of these names."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
     path = path or default_vocabulary()
     languages = model[0]
@@ -264,14 +276,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     text = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(languages, chances.value, Pieces(path))
+        own = Scorer(languages, chances.value, pieces_of(path))
         for batch in batches:
-            for piece in slices(batch, 2048):
+            for piece in slices(batch, 1024, text):
                 found, scores = own.predict([x or "" for x in piece.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predict, f"{shape}, lang_pred string, lang_score double")
+    return docs.mapInArrow(lean(predict), f"{shape}, lang_pred string, lang_score double")
 
 
 def remainder(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.token_files import slices
+from quern.llm.common import bounded_batches, lean, slices
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -194,6 +194,7 @@ _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 def scan_licenses(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and, if asked for, spans (label, start, end in bytes)."""
+    bounded_batches(docs.sparkSession)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", *["spans"] * with_spans]
     long, string = pa.int64(), pa.string()
     span = pa.list_(pa.struct([("label", string), ("start", long), ("end", long)]))
@@ -202,7 +203,7 @@ def scan_licenses(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner()
         for batch in batches:
-            for piece in slices(batch, 1024):
+            for piece in slices(batch, 1024, "text"):
                 out = []
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     low = _LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
@@ -218,4 +219,4 @@ def scan_licenses(docs: DataFrame, with_spans: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     shape = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, shape + ", spans array<struct<label: string, start: long, end: long>>" * with_spans)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scan), shape + ", spans array<struct<label: string, start: long, end: long>>" * with_spans)

@@ -3,7 +3,7 @@
 A document's token ids are hashed into buckets, the bucket counts projected to DIMENSIONS coordinates with fixed
 pseudo-random weights, and the coordinates, on a fixed scale, give its key on a Hilbert curve. Documents
 are range-sorted by (key, doc_id); each range is one task that lays its documents end to end and cuts them at each
-full sequence, so neighbours on the curve share sequences. What is left at the end of a range is cut into sequences of
+full sequence, so neighbours on the curve share sequences. The number of ranges grows with the ids. What is left at the end of a range is cut into sequences of
 decreasing powers of two, which need no padding.
 
 Defined cases. Null or empty text is a document of the end id alone. Equal rows are packed as often as they occur; copies
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, stored
-from quern.llm.token_files import serialized, slices
+from quern.llm.common import bounded_batches, lean, ranges_for, slices, stored
+from quern.llm.token_files import serialized
 from quern.llm.tokens import END_ID, default_tokenizer, encoder
 
 DIMENSIONS, BITS, BUCKETS = 4, 15, 2048
@@ -71,7 +71,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, weights = encoder(path), struct.pack("<I", END_ID), None
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 512, "text"):
                 raw = [x + end for x in own.encode([x or "" for x in piece.column(1).to_pylist()])]
                 sums = np.empty((len(raw), DIMENSIONS))
                 for k, x in enumerate(raw):
@@ -89,7 +89,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInArrow(encode, "doc_id long, place long, n long, ids binary"), "encoded")
+    return stored(rows.mapInArrow(lean(encode), "doc_id long, place long, n long, ids binary"), "encoded")
 
 
 def _powers(n: int) -> list[int]:
@@ -98,10 +98,12 @@ def _powers(n: int) -> list[int]:
 
 def pack(docs: DataFrame, path: str | None = None, length: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian 32-bit)."""
+    bounded_batches(docs.sparkSession)
     ranged = encoded(docs, path)
+    size = ranged.select(F.sum(F.octet_length("ids"))).first()[0]
     order = [F.col("place"), F.col("doc_id").asc_nulls_first()]
     spread = F.rand(5)  # parts rows that are equal in both
-    ranged = ranged.repartitionByRange(partitions(docs.sparkSession), *order, spread).sortWithinPartitions(*order, F.crc32("ids"))
+    ranged = ranged.repartitionByRange(ranges_for(docs.sparkSession, size), *order, spread).sortWithinPartitions(*order, F.crc32("ids"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
 
@@ -137,7 +139,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 2048, with_ids:
             return out
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 512, "ids"):
                 for doc_id, n, ids in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
                     raw = ids if len(ids) == 4 * n else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
                     at, raw = 0, memoryview(raw)
@@ -157,4 +159,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 2048, with_ids:
             yield flush()
 
     shape = ", ".join(f"{x} long" for x in names[:7]) + ", ids binary" * with_ids
-    return ranged.select("doc_id", "n", "ids").mapInArrow(lay, shape)
+    return ranged.select("doc_id", "n", "ids").mapInArrow(lean(lay), shape)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import hash_sample, partitions, stored
+from quern.llm.common import bounded_batches, hash_sample, lean, ranges_for, slices, stored
 from quern.llm.tokens import END_ID, default_tokenizer, encoder
 
 _HEAD = struct.Struct("<8sII32sQ")
@@ -140,15 +140,12 @@ class FileReader:
         return np.frombuffer(self._decompress(self._content[self._frames + a : self._frames + b]), self._kind).astype("<u4")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
 def write_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, bytes]:
     """The table of files (columns of FILES) and the dictionary that reading needs."""
+    bounded_batches(docs.sparkSession)
     path = path or default_tokenizer()
     dictionary = train_dictionary(docs, path)
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, end = encoder(path), TaskContext.get().partitionId(), struct.pack("<I", END_ID)
@@ -161,7 +158,7 @@ def write_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, by
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, *row), kinds, strict=True)], names)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 512, "text"):
                 texts = [x or "" for x in piece.column(1).to_pylist()]
                 for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(texts), strict=True):
                     writer.add(doc_id, ids + end)
@@ -171,10 +168,10 @@ def write_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, by
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.rand(5))  # rand parts equal ids
+        .repartitionByRange(ranges_for(docs.sparkSession, size), F.col("doc_id").asc_nulls_first(), F.rand(5))  # rand parts equal ids
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    return stored(ordered.mapInArrow(write, FILES), "token-files"), dictionary
+    return stored(ordered.mapInArrow(lean(write), FILES), "token-files"), dictionary
 
 
 def read_files(files: DataFrame, dictionary: bytes, with_ids: bool = False) -> DataFrame:
@@ -204,4 +201,4 @@ def read_files(files: DataFrame, dictionary: bytes, with_ids: bool = False) -> D
                     yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names)
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return files.join(starts, "part").select("base", "content").mapInArrow(read, shape)
+    return files.join(starts, "part").select("base", "content").mapInArrow(lean(read), shape)

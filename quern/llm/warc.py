@@ -6,8 +6,9 @@ format, so one record is read by decompressing one frame. Ordinary zstandard too
 Bundles are cells of a table in the shared folder, written by Spark's commit protocol.
 
 Of records with equal payloads of at least MIN_SHARED bytes, that with the largest page_id is the response and the others
-are revisits that refer to it. The group is found by digest, aggregated before the shuffle; payloads
-meet their group's row in a join that Spark can split where one payload is very frequent.
+are revisits that refer to it. The group is found by digest, aggregated before the shuffle. Where
+few payloads occur twice (a counted bound), their digests are broadcast and payloads stay where they are; beyond, long payloads meet
+their group's row in a join that Spark can split where one payload is very frequent, and short ones stay.
 
 Defined cases. Null html is an empty payload. A null url gives no target header. A null page_id is never the largest beside
 others, and is the response among nulls only. Repeated rows of the largest page_id are all responses. Control
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import BROADCAST_ROWS, bounded_batches, lean, stored
 
 MIN_SHARED = 1000
 #: Bytes of records after which a frame is closed, and of frames after which a bundle is.
@@ -138,6 +139,9 @@ class BundleReader:
         index = data[self._starts[-2] + 8 : at]
         self.index = [(i, int(f), int(o)) for i, f, o in (x.split("\t") for x in self._decompress(index).decode().split("\n"))]
         self._held: tuple[int, bytes] = (-1, b"")
+        self._places: dict[str, list[tuple[int, int]]] = {}
+        for identifier, frame, offset in self.index:
+            self._places.setdefault(identifier, []).append((frame, offset))
 
     def at(self, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
         if self._held[0] != frame:
@@ -145,19 +149,23 @@ class BundleReader:
         return parse_record(memoryview(self._held[1]), offset)
 
     def find(self, identifier: str) -> list[tuple[dict[str, str], bytes]]:
-        return [self.at(f, o) for i, f, o in self.index if i == identifier]
+        return [self.at(f, o) for f, o in self._places.get(identifier, ())]
 
 
 def write_bundles(pages: DataFrame) -> DataFrame:
     """A table of bundles: n_records, content."""
+    bounded_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size")
     )
-    shared = (
-        rows.where(F.col("size") >= MIN_SHARED).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    )
-    rows = rows.join(shared.select("digest", "kept"), "digest", "left")
+    long = rows.where(F.col("size") >= MIN_SHARED)
+    shared = stored(long.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept"), "shared-payloads")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared.withColumnRenamed("digest", "same"))
+        rows = rows.join(shared, (F.col("size") >= MIN_SHARED) & (F.col("digest") == F.col("same")), "left")
+    else:
+        rows = long.join(shared, "digest", "left").unionByName(rows.where(F.col("size") < MIN_SHARED).withColumn("kept", F.lit(None).cast("long")))
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +184,7 @@ def write_bundles(pages: DataFrame) -> DataFrame:
         yield from closed()
 
     rows = rows.select("page_id", "url", "html", "digest", "kept", revisit.alias("again"))
-    return stored(rows.mapInArrow(write, "n_records long, content binary"), "bundles")
+    return stored(rows.mapInArrow(lean(write), "n_records long, content binary"), "bundles")
 
 
 def _page(identifier: str) -> int | None:
@@ -207,5 +215,5 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return bundles.select("content").mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        lean(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
