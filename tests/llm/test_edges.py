@@ -3,9 +3,11 @@
 import hashlib
 import io
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import language, licenses, mixing, neardup_text, neardup_vectors, packing, token_files, topk, url_filter, warc
-from quern.llm.count_tree import count_vector, forest, groups_for, needed
+from quern.llm.count_tree import Tree, count_vector, forest, groups_for, needed
 from quern.llm.graph import components
 from quern.llm.shingles import shingle_sets
 from quern.llm.tokens import WordEncoder, default_tokenizer, encoder
@@ -81,7 +83,15 @@ def test_language(spark, docs):
 
 
 def test_letters():
-    assert language.runs_of("a1b_c²d'é") == ["a", "b", "c", "d", "é"] and language.runs_of("²Ⅷ½_9") == [] and language.runs_of("x" * 40) == ["x" * 32, "x" * 8]
+    assert language.runs_of("a1b_c²d'é") == ["▁a", "▁b", "▁c", "▁d", "▁é"] and language.runs_of("²Ⅷ½_9") == []
+    assert language.runs_of("x" * 70) == ["▁" + "x" * 32, "x" * 32, "x" * 6]  # no word begins inside
+
+
+def test_remembered_likelihoods_are_bounded_in_bytes():
+    many = [f"l{k}" for k in range(256)]
+    pieces = language.pieces_of(language.default_vocabulary())
+    scorer = language.Scorer(many, np.full((pieces.size, 256), 1e-4), pieces)
+    assert scorer._limit * 257 * 8 <= language.TABLE_BYTES
 
 
 def test_forward_sums_all_segmentations():
@@ -98,8 +108,35 @@ def test_forward_sums_all_segmentations():
                     sums[b] = sums[b] + sums[a] * chances[p]
         return np.log(sums[-1])
 
-    words = ["the", "unterschied", "я", "zx", "a"]
-    assert np.allclose(language.likelihoods(words, pieces, chances), [total("▁" + w) for w in words])
+    words = ["▁the", "▁unterschied", "▁я", "▁zx", "▁a", "tinued"]
+    assert np.allclose(language.likelihoods(words, pieces, chances), [total(w) for w in words])
+
+
+def test_fitting_counts_all_segmentations():
+    """One round of expectation maximisation, with each segmentation written out."""
+    pieces = language.pieces_of(language.default_vocabulary())
+    index = {w: k for k, w in enumerate(pieces.words)}
+
+    def segmentations(word):
+        if not word:
+            return [[]]
+        out = []
+        for b in range(1, len(word) + 1):
+            p = index.get(word[:b], pieces.size - 1 if b == 1 else None)
+            if p is not None:
+                out += [[p, *rest] for rest in segmentations(word[b:])]
+        return out
+
+    words, counts = [("▁hund", 0, 3), ("▁the", 0, 2), ("é", 0, 1)], np.zeros(pieces.size)
+    for word, _, n in words:
+        ways = segmentations(word)
+        chance = np.array([(1 / pieces.size) ** len(w) for w in ways])
+        for way, c in zip(ways, chance / chance.sum(), strict=True):
+            np.add.at(counts, way, n * c)
+    counts[-1] = 0
+    expected = (counts + 0.05) / (counts.sum() + 0.05 * pieces.size)
+    expected[-1] = 1e-7
+    assert np.allclose(language.fit(words, 1, pieces, rounds=1)[:, 0], expected)
 
 
 def test_long_pieces_are_used():
@@ -112,7 +149,7 @@ def test_long_pieces_are_used():
     chances = np.zeros((pieces.size, 1))
     for word in ("something", "information", "important"):
         chances[pieces.words.index("▁" + word)] = 0.25
-        assert np.allclose(language.likelihoods([word], pieces, chances), np.log(0.25))
+        assert np.allclose(language.likelihoods(["▁" + word], pieces, chances), np.log(0.25))
 
 
 def test_all_words_of_all_languages_are_learned(spark, docs):
@@ -123,7 +160,7 @@ def test_all_words_of_all_languages_are_learned(spark, docs):
     languages, chances = language.train(data, F.lit(True))
     pieces = language.Pieces(language.default_vocabulary())
     assert languages == ["aa", "zy", "zz"] and chances.shape == (pieces.size, 3)
-    alone = language.fit([("zzyzx", 0, 1), ("qwghlm", 0, 1)], 1, pieces)[:, 0]
+    alone = language.fit([("▁zzyzx", 0, 1), ("▁qwghlm", 0, 1)], 1, pieces)[:, 0]
     assert np.allclose(chances[:, 2], alone) and np.allclose(chances[:-1, 1], chances[0, 1])
     assert not np.allclose(chances[:, 2], chances[:, 1])
 
@@ -172,8 +209,7 @@ def test_kept(spark, docs):
 
 def test_blocks_in_chunks(spark, docs, monkeypatch):
     """Large blocks and classes meet chunk by chunk and lose nothing."""
-    monkeypatch.setattr(neardup_text, "BLOCK_CHUNK", 5)
-    monkeypatch.setattr(neardup_text, "CLASS_CHUNK", 4)
+    monkeypatch.setattr(neardup_text, "CHUNK", 4)
     rng = np.random.default_rng(2)
     base = [f"w{k}" for k in range(60)]
     data = []
@@ -184,6 +220,10 @@ def test_blocks_in_chunks(spark, docs, monkeypatch):
     chain = [f"c{k}" for k in range(60)]
     for k in range(12):  # each links with its neighbours only
         data.append((k, " ".join(chain[k * 3 : k * 3 + 24])))
+    for k in range(30):  # one passage and two thirds of another text: alike, and linked with few
+        own = [f"y{k // 2}-{j}" for j in range(14)]
+        own[k % 2] = f"z{k}"
+        data.append((200 + k, " ".join(base[:40] + own)))
     found = {r["doc_id"]: r["component_id"] for r in neardup_text.similar_documents(docs(*data)).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in data}
     parent = {i: i for i in sets}
@@ -210,16 +250,46 @@ def test_forest_spans_all_links(seed):
     sets = [s if len(s) else np.array([7], dtype=np.uint64) for s in sets]
     linked = lambda a, b: 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - n)
     found = forest(np.array([len(s) for s in sets]), [count_vector(s, groups_for(len(s), 3)) for s in sets], 75, linked)
-    assert all(linked(a, b) for a, b in found)
-
-    def groups(edges):
-        root = list(range(len(sets)))
-        for a, b in edges:
-            x, y = root[a], root[b]
-            root = [min(x, y) if r in (x, y) else r for r in root]
-        return root
-
-    assert groups(found) == groups([(a, b) for a in range(len(sets)) for b in range(a) if linked(a, b)])
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if linked(a, b):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    first = {c: k for k, c in reversed(list(enumerate(found.tolist())))}
+    assert [first[c] for c in found.tolist()] == root
+
+
+def test_tree_prunes_and_keeps_every_pair_within_the_bound():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(20, 4000, 600)
+    points = np.stack([rng.poisson(s / 64, 64) for s in sizes]).astype(np.uint16)
+    sizes = points.sum(axis=1).astype(np.int64)
+    tree = Tree(points, sizes)
+    assert len(tree.levels) == 3
+    near = tree.near_leaves(75)
+    leaves = -(-600 // 8)
+    assert len(near) < 0.5 * leaves * (leaves + 1) / 2
+    kept = set(near)
+    for a in range(600):
+        shared = np.minimum(tree.points[a], tree.points[a:]).sum(axis=1)
+        for b in (a + np.flatnonzero(shared >= needed(tree.sizes[a], tree.sizes[a:], 75))).tolist():
+            assert (a // 8, b // 8) in kept
+
+
+def test_near_copies_of_a_very_long_text_take_little_memory():
+    rng = np.random.default_rng(4)
+    text = np.unique(rng.integers(0, 2**63, 200_000, dtype=np.uint64))
+    tokens = []
+    for _ in range(32):
+        own = text.copy()
+        own[rng.integers(0, len(own), 500)] = rng.integers(0, 2**63, 500, dtype=np.uint64)
+        tokens.append(np.unique(own).tobytes())
+    tracemalloc.start()
+    joined = neardup_text._verified(75)(None, np.arange(32), [len(t) // 8 for t in tokens], tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(joined.tolist())) == 1 and peak < 100e6
 
 
 def test_bounds():
@@ -350,9 +420,10 @@ def brute_links(data, threshold=0.98):
     return sorted(((data[k][0], links[k], least[root[k]], data[k][0] == least[root[k]]) for k in range(n)), key=repr)
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neardup_vectors, "PER_CELL", 15)
-    monkeypatch.setattr(neardup_vectors, "BLOCK", 12)
+@pytest.mark.parametrize("top", [3, 128])
+def test_vectors(spark, monkeypatch, top):
+    for name, value in (("PER_CELL", 5), ("BLOCK", 12), ("TOP", top)):
+        monkeypatch.setattr(neardup_vectors, name, value)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((6, 8))
     data = []
@@ -367,15 +438,34 @@ def test_vectors(spark, monkeypatch):
     assert rows(neardup_vectors.near_duplicates(only)) == [(None, 0, None, True)]
 
 
+def test_vectors_of_two_kinds(spark):
+    """At the constants of production: planted groups in several cells, pairs next to the threshold, doubles of any size."""
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((40, 16))
+    data = [(k, [float(x) for x in np.float32(centres[k % 40] + rng.standard_normal(16) * 0.1 * (k % 3))], k % 2) for k in range(900)]
+    assert neardup_vectors.cells_for(450) > 3
+    assert rows(neardup_vectors.near_duplicates(spark.createDataFrame(data, VECTORS))) == brute_links(data)
+    turn = np.arccos(0.98)
+    edge = [(2 * k + j, [float(np.cos(a)), float(np.sin(a))], k) for k, d in enumerate((-1e-6, -1e-13, 1e-13, 1e-6)) for j, a in enumerate((0.3, 0.3 + turn + d))]
+    wide = T.StructType([VECTORS["vec_id"], T.StructField("embedding", T.ArrayType(T.DoubleType())), VECTORS["label"]])
+    found = {r["vec_id"]: r["n_links"] for r in neardup_vectors.near_duplicates(spark.createDataFrame(edge, wide)).collect()}
+    assert (found[0], found[6]) == (1, 0)
+    for k in range(4):
+        x, y = (np.array(edge[2 * k + j][1]) for j in range(2))
+        assert found[2 * k] == found[2 * k + 1] == int((x @ y) / math.sqrt((x @ x) * (y @ y)) >= 0.98)
+    huge = spark.createDataFrame([(1, [1e300, 2e300], 0), (2, [1e-300, 2e-300], 0), (3, [2e300, -1e300], 0)], wide)
+    assert rows(neardup_vectors.near_duplicates(huge)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 @pytest.mark.parametrize("shard", [7, 10_000])
 def test_top_k(spark, monkeypatch, shard):
-    monkeypatch.setattr(topk, "SHARD", shard)
-    monkeypatch.setattr(topk, "ROWS", 9)
+    for name, value in (("ROWS", 9), ("QUERIES", 2), ("FIRST_BLOCKS", 1), ("BLOCKS", 2), ("PROBED", 4)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     data = [(k, [float(x) for x in np.float32(np.round(rng.standard_normal(6), 1))], 0) for k in range(120)]
     data += [(200, None, 0), (250, [None] * 6, 0), (300, [float("nan")] * 6, 0), (350, [], 0), (400, [9.0], 0), (7, data[7][1], 1), (None, [1.0] * 6, 0)]
     frame = clash(spark.createDataFrame(data, VECTORS))
-    found = rows(topk.top_k(frame.where("vec_id % 50 = 0"), frame))
+    found = rows(topk.top_k(frame.where("vec_id % 50 = 0"), frame, shard=shard))
     ints = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for q, own in ints:
@@ -386,6 +476,22 @@ def test_top_k(spark, monkeypatch, shard):
     assert topk.top_k(frame.limit(0), frame).count() == 0 == topk.top_k(frame.where("vec_id = 50"), frame.where("vec_id = 50")).count()
 
 
+def test_max_score_leaves_postings_out():
+    rng = np.random.default_rng(9)
+    width, n = 40, 9000
+    weights = np.floor(np.where(rng.random((n, width)) < 0.2, rng.exponential(60, (n, width)) * rng.choice([1, -1], (n, width)), 0.0))
+    shard = topk.Shard(list(range(n)), [w.astype("<f8").tobytes() for w in weights])
+    for _ in range(20):
+        query = np.floor(np.where(rng.random(width) < 0.3, rng.standard_normal(width) * 100, 0.0))
+        scores = weights @ query
+        best = sorted(zip(-scores, range(n)))[:5]
+        assert shard.best(-1, query, 5) == [(int(-s), k) for s, k in best]
+        assert shard.best(-1, query, 5, floor=float(-best[-1][0])) == [(int(-s), k) for s, k in best]
+        negative = -np.abs(query)
+        assert shard.best(-1, negative, 5) == [(int(-s), k) for s, k in sorted(zip(-(weights @ negative), range(n)))[:5]]
+    assert shard.traversed < 0.7 * shard.listed
+
+
 def test_top_k_large_numbers(spark):
     data = [(0, [1e30, 1.0], 0), (1, [1e30, 2.0], 0), (2, [-1e30, 3.0], 0), (3, [2.0**40, 1.0], 0)]
     found = rows(topk.top_k(spark.createDataFrame(data[:1], VECTORS), spark.createDataFrame(data, VECTORS)))
@@ -469,14 +575,13 @@ def test_short_document_is_read_alone():
 # mixing
 
 
-def test_mixing(spark, docs, monkeypatch):
-    monkeypatch.setattr(mixing, "GROUP", 10)
-    monkeypatch.setattr(mixing, "FAN_IN", 3)
+def test_mixing(spark, docs):
+    tree = {"group": 10, "fan_in": 3}
     rng = np.random.default_rng(6)
     data = [(k, "w " * int(rng.integers(1, 60)), None, "hot" if k % 2 else f"s{k % 7}") for k in range(400)]
     data += [(500, None, None, "empty"), (501, " ", None, None), (502, "a b c", None, None), (503, LONG, None, "one"), (None, "x y", None, "s1"), (3, data[3][1], None, "hot")]
     frame = clash(docs(*data))
-    found = mixing.copies(frame).collect()
+    found = mixing.copies(frame, **tree).collect()
     assert sum(r["n_rows"] for r in found) == len(data)
     by = {}
     for r in found:
@@ -487,8 +592,8 @@ def test_mixing(spark, docs, monkeypatch):
     for own in by.values():
         taken = sum(r["copies"] * r["size"] * r["n_rows"] for r in own)
         assert abs(taken - own[0]["target"]) <= max(r["size"] * r["n_rows"] for r in own)
-    assert sorted(found, key=repr) == sorted(mixing.copies(frame.repartition(7)).collect(), key=repr)
-    mixed = mixing.mix(frame)
+    assert sorted(found, key=repr) == sorted(mixing.copies(frame.repartition(7), **tree).collect(), key=repr)
+    mixed = mixing.mix(frame, **tree)
     assert mixed.columns == frame.columns and mixed.count() == sum(r["copies"] * r["n_rows"] for r in found)
     assert mixing.copies(docs()).count() == 0 == mixing.mix(docs()).count()
 
@@ -499,28 +604,66 @@ def test_targets():
     assert mixing.targets([("a", 0)], (3, 1, 2), 1.5, 2) == [0]
 
 
-def test_rounding_keeps_words_and_chances():
-    rng = np.random.default_rng(7)
-    taken = np.zeros(30)
-    size = np.sort(rng.integers(1, 50, 30))[::-1].astype(float)
-    for _ in range(3000):
-        p = mixing._against_smaller(0.3, size, rng.random(30))
-        assert abs(p @ size - 0.3 * size.sum()) < 1e-6 and ((p > 0) & (p < 1)).sum() <= 1
+def brute_pivotal(p, size, draws):
+    """Plain pivotal rounding in words: the open one meets the next."""
+    p, held, draws = list(p), None, iter(draws)
+    for b in range(len(p)):
+        if held is None:
+            held = b
+            continue
+        a = held
+        up, down = min((1 - p[a]) * size[a], p[b] * size[b]), min(p[a] * size[a], (1 - p[b]) * size[b])
+        move = up if next(draws) * (up + down) < down else -down
+        p[a], p[b] = p[a] + move / size[a], p[b] - move / size[b]
+        held = next((k for k in (a, b) if 1e-9 < p[k] < 1 - 1e-9), None)
+    return p
+
+
+@pytest.mark.parametrize("sizes", [[7], [100, 10, 10], [2000, *range(90, 40, -2)], sorted(np.exp(np.linspace(0, 6, 40)).round().tolist(), reverse=True)])
+def test_rounding_keeps_words_and_chances(sizes):
+    rng, size = np.random.default_rng(7), np.array(sizes, dtype=float)
+    taken, times = np.zeros(len(size)), 4000
+    for _ in range(times):
+        p = mixing.rounded(np.full(len(size), 0.3), size, rng.random(2 * len(size)))
+        assert abs(p @ size - 0.3 * size.sum()) < 1e-6 * size.sum() and ((p > 0) & (p < 1)).sum() <= 1
         taken += p
-    assert np.abs(taken / 3000 - 0.3).max() < 0.05
-    own = rng.random(30)
-    q = mixing._in_pairs(own.copy(), size, rng.random(30))
-    assert abs(q @ size - own @ size) < 1e-6 and ((q > 0) & (q < 1)).sum() <= 1
+    assert np.abs(taken / times - 0.3).max() < 0.04
+
+
+def test_rounding_is_pivotal():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        own, size, draws = rng.random(30), np.sort(rng.integers(1, 50, 30))[::-1].astype(float), rng.random(60)
+        assert mixing.rounded(own, size, draws) == pytest.approx(brute_pivotal(own, size, draws), abs=1e-6)
+    even = np.full(20, 0.35)  # sizes that are alike: equal chances make no difference
+    assert mixing.rounded(even, np.full(20, 8.0), draws) == pytest.approx(brute_pivotal(even, np.full(20, 8.0), draws), abs=1e-6)
+
+
+def test_copies_are_expected_in_proportion(spark):
+    """Over seeds, each document's mean number of copies is target / size of its source, a lone one's too."""
+    kinds = {"alone": [40], "many": list(range(60, 20, -1))}
+    for name, sizes in kinds.items():
+        rows = pd.DataFrame({"id": range(len(sizes)), "digest": 1, "unit": sizes, "p": 0.4, "open": True})
+        mean = np.zeros(len(sizes))
+        for seed in range(1500):
+            done = mixing._round_group((name, 0), rows, True, seed, 0)
+            assert not done["open"].any() and done["p"].isin([0, 1]).all()
+            mean[done["id"]] += done["p"]
+        assert np.abs(mean / 1500 - 0.4).max() < 0.06
 
 
 # url filters
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_url_filter(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(url_filter, "HOT", 2)
     entries = spark.createDataFrame(
         [
             ("l1", "bad.example.com", "block", 10), ("l1", "bad.example.com", "off", 20), ("l1", "bad.example.com", "block", 30), ("l2", "bad.example.com", "allow", 35),
             ("l1", "example.com", "block", 5), ("l1", "BAD.example.com/ok", "allow", 0), ("l1", None, "block", 0), ("l1", "x.com", None, 0), ("l1", "tie.com", "block", 1), ("l1", "tie.com", "allow", 1),
+            ("l1", "MIXED.org", "block", 10), ("l1", "mixed.ORG", "off", 20),
         ],
         "list string, key string, action string, at long",
     )
@@ -528,7 +671,7 @@ def test_url_filter(spark):
         ("http://bad.example.com/x", 9, "block", "example.com"), ("http://bad.example.com/x", 10, "block", "bad.example.com"), ("http://bad.example.com/x", 20, "block", "example.com"),
         ("https://user@BAD.Example.com.:80/ok/deep", 40, "allow", "bad.example.com/ok"), ("http://bad.example.com/x", 36, "allow", "bad.example.com"), ("http://example.com", 4, "none", None),
         ("http://notbad.example.com/x", 12, "block", "example.com"), ("http://other.org", 50, "none", None), (None, 50, "none", None), ("no url", 50, "none", None), ("http://example.com", None, "none", None),
-        ("http://tie.com/a", 1, "allow", "tie.com"), ("http://tie.com/a", 1, "allow", "tie.com"),
+        ("http://tie.com/a", 1, "allow", "tie.com"), ("http://tie.com/a", 1, "allow", "tie.com"), ("http://mixed.org", 15, "block", "mixed.org"), ("http://mixed.org", 30, "none", None),
     ]
     captures = spark.createDataFrame([(k // 2, u, t) for k, (u, t, _, _) in enumerate(data)], "page_id long, url string, fetched_at long")
     found = url_filter.filter_urls(clash(captures), entries)
@@ -536,3 +679,19 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(captures, entries.limit(0)).collect()} == {"none"}
     assert url_filter.filter_urls(captures.limit(0), entries).count() == 0
     assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_url_filter_times(spark, zone):
+    """A long history of one key, with times of both kinds, in any zone of the session."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for kind in ("timestamp_ntz", "timestamp"):
+            at = F.timestamp_seconds(1_709_251_200 + F.col("id") * 3600) if kind == "timestamp" else F.lit("2024-03-01 00:00:00").cast(kind) + F.make_dt_interval(hours=F.col("id").cast("int"))
+            entries = spark.range(3000).select(F.lit("l").alias("list"), F.lit("a.org").alias("key"), F.when(F.col("id") % 2 == 0, "block").otherwise("off").alias("action"), at.alias("at"))
+            captures = spark.range(3001).select(F.col("id").alias("page_id"), F.lit("http://a.org/x").alias("url"), (at - F.make_dt_interval(mins=F.lit(1))).alias("fetched_at"))
+            found = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(captures, entries).collect()}
+            assert found == {k: "block" if k % 2 else "none" for k in range(3001)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

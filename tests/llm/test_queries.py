@@ -46,6 +46,11 @@ def test_sql(spark, name):
     assert sorted([plain(r[c]) for c in sorted(names)] for r in mine.collect()) == sorted([plain(r[names.index(c)]) for c in sorted(names)] for r in found.fetchall())
 
 
+def test_op9_has_all_verdicts(spark):
+    found = {r["verdict"]: r["count"] for r in QUERIES["op9_url_filter"](spark, DATA.replace("sf0.001", "sf0.01")).groupBy("verdict").count().collect()}
+    assert found["block"] >= 0.2 * sum(found.values()) and found["allow"] > 0 and found["none"] > 0
+
+
 def test_op9_lists_site_wide_keys(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     assert _entries(pages, two_labels=True).where("key = 'example.com'").count() == 3
