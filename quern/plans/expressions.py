@@ -102,7 +102,7 @@ class TableRef(Expression):
         return self.name
 
     def write(self, scope: Scope) -> Fragment:
-        return Fragment(quoted(f"{self.schema}__{self.name}" if self.schema else self.name))
+        return Fragment(quoted(self.key))
 
     as_table = write
 

@@ -21,20 +21,29 @@ from quern.sources.store import Store
 from quern.transactions import Isolation, Savepoint, Transaction
 
 
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings and views that the given one has now, and names of its own from then on."""
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+
+
 class Engine(QueryBuilder):
-    """Runs queries of its builders, or SQL text, over the tables of its store."""
+    """Runs queries of its builders, or SQL text, over the tables of its store.
+
+    Tables are views of a session of the engine's own, on the Spark context of the given one: several engines
+    may know different tables by one name, and views of the given session stay as they are.
+    """
 
     supports_returning = True
 
     def __init__(self, spark: SparkSession, timezone: str = "UTC", root: str | None = None):
         super().__init__(self)
         self.spark = spark
+        self.session = _own_session(spark)
         self.converter = Converter(timezone)
-        self.store = Store(spark, root)
+        self.store = Store(self.session, root)
         self.scope = Scope(self.converter, self.store)
         self.transaction: Transaction | None = None
         self._prepared: dict[str, Prepared] = {}
-        self._views: list[str] = []
         self.timings: dict[str, float] = {}
 
     @classmethod
@@ -42,21 +51,19 @@ class Engine(QueryBuilder):
         """An engine over Parquet tables in a folder, read only until a change copies them."""
         engine = cls(spark, **options)
         for name in tables:
-            engine.store.declare(name, lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet"))
+            engine.store.declare(name, f"{folder}/{name}.parquet")
         return engine
 
     # frames
     def temporary(self, frame: DataFrame) -> str:
-        """A frame as a view that text can name."""
-        name = f"quern_view_{uuid.uuid4().hex}"
-        frame.createOrReplaceTempView(name)
-        return name
+        """A frame as a view that text can name, until the store is closed or forgets it."""
+        return self.store.view(frame)
 
     def kept(self, frame: DataFrame) -> DataFrame:
         """A frame whose rows stay as they are now, whatever happens to the tables."""
         folder = f"{self.store.root}/kept/{uuid.uuid4().hex}"
         frame.toDF(*[f"c{k}" for k in range(len(frame.columns))]).write.parquet(folder)  # names may repeat
-        return self.spark.read.parquet(folder).toDF(*frame.columns)
+        return self.session.read.parquet(folder).toDF(*frame.columns)
 
     def sql(self, fragment: Fragment, arguments: Any = None) -> DataFrame:
         values = list(fragment.values)
@@ -67,7 +74,7 @@ class Engine(QueryBuilder):
         text, bound = named(fragment, values)
         self.store.load_named(text)
         try:
-            return self.spark.sql(text, args=bound) if bound else self.spark.sql(text)
+            return self.session.sql(text, args=bound) if bound else self.session.sql(text)
         except PySparkException as e:
             raise translated(e, text) from e
 
