@@ -5,7 +5,8 @@ occurs in it, and a rule only if all of its keywords do. Detections are taken in
 place; one that lies inside a detection taken before is suppressed. Base rules, a phrase's words standing
 consecutively, are counted at all their places before any suppression and their labels always stay.
 
-The rules are written once per license as names, versions and identifiers, and each form of reference is one template. Scores
+Sentences of license texts are written out one by one, with their variants. Names, versions and identifiers are listed once
+per license, and each form of reference is one template. An SPDX expression gives each of its terms. Scores
 combine the certainty of the rules kept: 1 - product of (1 - certainty).
 
 Defined cases. Null or empty text: no words, no labels, score 0. Texts are searched whole, of any length. A place is a start
@@ -80,6 +81,79 @@ LICENSES = {
     "proprietary": ("", "", "all rights reserved|proprietary and confidential|may not be reproduced without permission|unauthorized copying of this file"),
     "no-warranty": ("", "", "without warranty of any kind|without any warranty|warranties or conditions of any kind"),
 }
+#: label, certainty, pattern: sentences of license texts and notices. A blank stands for any gap between words.
+SIGNATURES = (
+    ("mit", 0.95, r"permission is hereby granted free of charge to any (?:person|entity) obtaining (?:a copy|copies) of (?:this|the) (?:software|font|program|work)"),
+    ("mit", 0.8, r"the (?:software|program) is provided as is without warrant(?:y|ies) of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", 0.7, r"rights to use copy modify merge publish distribute sublicense and or sell copies of the (?:software|program)"),
+    ("mit", 0.7, r"licensed under (?:the )?(?:terms of (?:the )?)?mit(?: x11)?(?: license)?"),
+    ("apache", 0.95, r"licensed under the apache license version (?:1 0|1 1|2 0) the license you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache", 0.9, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", 0.85, r"distributed (?:under the license is distributed )?on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions"),
+    ("apache", 0.8, r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache", 0.8, r"licensed under (?:the )?(?:terms of (?:the )?)?apache(?: license)?(?: version)? v?[12](?: [01])?"),
+    ("gpl", 0.95, r"redistribute it and or modify it under the terms of (?:version [123] of )?the gnu general public license"),
+    ("gpl", 0.9, r"either version (?:1|2|3|2 1) of the license or (?:at|by) your option any later version"),
+    ("gpl", 0.85, r"you should have received a copy of the gnu general public license along with (?:this|the) (?:program|file|library|software|package)"),
+    ("gpl", 0.85, r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", 0.8, r"distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", 0.8, r"licensed under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl ?(?:v ?|version )?[123]?"),
+    ("lgpl", 0.95, r"redistribute it and or modify it under the terms of (?:version [23](?: [01])? of )?the gnu (?:lesser|library) general public license"),
+    ("lgpl", 0.85, r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl", 0.8, r"licensed under (?:the )?(?:terms of (?:the )?)?(?:gnu )?lgpl ?(?:v ?|version )?[23]?(?: [01])?"),
+    ("agpl", 0.95, r"redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", 0.85, r"you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", 0.8, r"offer all users interacting with it remotely through a computer network (?:if your version supports such interaction )?an opportunity to receive the corresponding source"),
+    ("bsd", 0.9, r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", 0.7, r"redistributions of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 0.7, r"redistributions in binary form must reproduce the (?:above )?copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", 0.9, r"neither the names? of (?:the )?(?:copyright holders?|university|author|company|organi[sz]ation|[a-z0-9]+(?: [a-z0-9]+){0,5}) nor the names of (?:its|the|any) (?:other )?contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 0.9, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ments?"),
+    ("isc", 0.9, r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-0-clause", 0.9, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("mpl", 0.95, r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", 0.85, r"the contents of this file are subject to the mozilla public license version (?:1 0|1 1|2 0)"),
+    ("epl", 0.9, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 0.9, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", 0.9, r"this program and the accompanying materials are made available under the terms of the common public license"),
+    ("eupl", 0.9, r"licensed under the eupl(?: version)?(?: v)? ?1 [0-2]"),
+    ("artistic", 0.85, r"(?:redistribute it and or modify it )?under the same terms as perl itself"),
+    ("boost", 0.95, r"(?:distributed|licensed|released) under the boost software license version 1 0"),
+    ("boost", 0.85, r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", 0.9, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 0.85, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", 0.95, r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 0.85, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", 0.9, r"to the extent possible under law (?:[a-z0-9]+ ){1,8}(?:has|have) (?:dedicated|waived) all copyright and related (?:or|and) neighboring rights"),
+    ("cc-by", 0.9, r"licensed under (?:a |the )?creative commons attribution(?: (?:[1-4] [05])?(?: international| generic| unported)?)? license"),
+    ("cc-by-sa", 0.9, r"(?:licensed |available )?under (?:a |the )?creative commons attribution share ?alike(?: [1-4] [05])?(?: international| generic| unported)?(?: license)?"),
+    ("cc-by-nc", 0.9, r"under (?:a |the )?creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| generic| unported)?(?: license)?"),
+    ("cc-by-nd", 0.9, r"under (?:a |the )?creative commons attribution no ?derivs(?: [1-4] [05])?(?: international| generic| unported)?(?: license)?"),
+    ("gfdl", 0.95, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("wtfpl", 0.9, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("python", 0.9, r"psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("openssl", 0.9, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", 0.85, r"this product includes php software freely available from"),
+    ("ms-pl", 0.85, r"this license governs use of the accompanying software (?:if you use the software you accept this license|published by microsoft)"),
+    ("osl", 0.85, r"licensed under the open software license version [123] [01]"),
+    ("afl", 0.85, r"licensed under the academic free license version [123] [01]"),
+    ("ncsa", 0.85, r"to deal with the software without restriction including without limitation the rights to use copy modify merge"),
+    ("upl", 0.9, r"a perpetual worldwide non exclusive no charge royalty free irrevocable copyright and patent license to the extent"),
+    ("sspl", 0.9, r"offer(?:ing)? the functionality of the program or modified version to third parties as a service"),
+    ("busl", 0.9, r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic", 0.9, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("ofl", 0.95, r"this font software is licensed under the sil open font license version 1 [01]"),
+    ("odbl", 0.9, r"made available under the open database license"),
+    ("openrail", 0.85, r"use based restrictions (?:as )?(?:referenced|set forth) in (?:paragraph|attachment)"),
+    ("public-domain", 0.85, r"the author disclaims copyright to this source code"),
+    ("public-domain", 0.8, r"(?:is |was |been |hereby )(?:dedicated|released|placed|put)(?: by its authors?)? (?:in|into|to) the public domain"),
+    ("proprietary", 0.6, r"(?:contains|is) (?:the )?(?:trade secrets? or )?confidential (?:and|or) proprietary information of"),
+    ("proprietary", 0.6, r"no part of this (?:publication|document|work|book) may be reproduced(?: stored)?(?: in a retrieval system)?(?: or transmitted)?"),
+    ("proprietary", 0.5, r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)?[0-9][0-9])?(?: [a-z0-9]+){1,6} all rights reserved"),
+    ("no-warranty", 0.5, r"in no event (?:shall|will) the (?:authors?|copyright holders?|contributors|regents)(?: or (?:copyright holders?|contributors|licensors))? be liable for any (?:claim|direct|damages)"),
+)
+#: Identifiers that say enough where they stand alone, beside all that hold a hyphen and a version.
+ALONE = ("wtfpl", "0bsd", "unlicense", "gplv2", "gplv3", "lgplv2", "lgplv3", "agplv3")
 #: Single words, since any gap may stand between two. A text without any of them, or of those that gates() adds, can't match a rule.
 GATES = ("licen", "copyright", "spdx", "gpl", "domain", "reserved", "commons", "cc0", "warrant", "proprietary", "unauthorized", "permission", "redistribution", "bsd", "mozilla", "apache", "boost", "eclipse", "advertising", "altered", "openssl")
 
@@ -108,6 +182,15 @@ def _rule(label: str, priority: int, certainty: float, body: bytes, keywords: li
     return Rule(label, priority, certainty, tuple(sorted(set(keywords), key=lambda k: (-len(k), k))[:4]), re.compile(_BEFORE + body + _AFTER))
 
 
+def _needed(pattern: str) -> list[bytes]:
+    """Words, or parts of words, that all texts have which a signature matches: those outside groups, classes and what is optional."""
+    at = "(?:"
+    while at:
+        pattern, at = re.subn(r"\((?:\?:)?[^()]*\)(?:\?|\{[^}]*\})?", "|", pattern)
+    pattern = re.sub(r"\[[^\]]*\](?:\?|\+|\{[^}]*\})?|.\?", "|", pattern)
+    return [w.encode() for w in re.findall(r"[a-z0-9]+", pattern)]
+
+
 def rules() -> list[Rule]:
     """All rules, of highest priority (smallest number) first."""
     out = []
@@ -125,6 +208,15 @@ def rules() -> list[Rule]:
             out.append(_rule(label, 2, 0.95, rb"(?:licen[cs]ed|released|distributed|available|published)" + _GAP + rb"under" + _GAP + rb"(?:the" + _GAP + rb"terms" + _GAP + rb"of" + _GAP + rb")?(?:the" + _GAP + rb")?" + _phrase(text), [b"under", *own]))
             out.append(_rule(label, 3, 0.9, _phrase(text) + version, own))
             out.append(_rule(label, 5, 0.8, _phrase(text), own))
+    term = rb"[0-9a-z]+(?:[-.+][0-9a-z]+)*\+?"
+    for label, (_, identifiers, _) in LICENSES.items():
+        for text in filter(None, identifiers.split("|")):
+            before = _phrase("spdx license identifier") + rb"(?:" + _GAP + term + _GAP + rb"(?:and|or|with)){1,12}" + _GAP
+            out.append(_rule(label, 0, 0.99, before + rb"(?P<at>" + _phrase(text) + rb")", [b"spdx", b"identifier", *_words(text)]))
+            if text in ALONE or ("-" in text and text[-1].isdigit()):
+                out.append(_rule(label, 7, 0.5, _phrase(text), _words(text)))
+    for label, certainty, text in SIGNATURES:
+        out.append(_rule(label, 1, certainty, text.encode().replace(b" ?", b"(?:" + _GAP + b")?").replace(b" ", _GAP), _needed(text)))
     for phrase, label in BASE.items():
         out.append(_rule(label, 6, 0.6, _phrase(phrase), _words(phrase)))
     return sorted(out, key=lambda r: r.priority)
@@ -164,7 +256,11 @@ class Scanner:
         if not any(g in low for g in self._gates):
             return []
         there = {k for k in self._keywords if k in low}
-        found = [(r.priority, m.start() - m.end(), m.start(), m.end(), n) for n, r in enumerate(self._rules) if there.issuperset(r.keywords) for m in r.pattern.finditer(low)]
+        found = []
+        for n, r in enumerate(self._rules):
+            if there.issuperset(r.keywords):
+                at = "at" if r.pattern.groupindex else 0
+                found += [(r.priority, m.start(at) - m.end(at), m.start(at), m.end(at), n) for m in r.pattern.finditer(low)]
         kept: list[tuple[int, int, Rule]] = []
         near: dict[int, list[tuple[int, int]]] = {}  # intervals taken, by the blocks of bytes that they touch
         for _, _, a, b, n in sorted(found):

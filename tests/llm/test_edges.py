@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import re
 import tracemalloc
 import zlib
 
@@ -572,6 +573,74 @@ def test_short_document_is_read_alone():
     assert (n, total) == (3, 5004) and reader.ids(2).tolist() == [0] and reader.ids(1).tolist() == arrays[1].tolist()
 
 
+def sample(pattern, rng):
+    """Some text that a pattern of bytes matches."""
+
+    def some(parsed):
+        out = b""
+        for op, value in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += bytes([value])
+            elif op == "IN":
+                ranges = [v if str(k) == "RANGE" else (v, v) for k, v in value]
+                allowed = [c for a, b in ranges for c in range(a, b + 1) if c in b" \n-*,." or 48 <= c < 58 or 97 <= c < 123]
+                out += bytes([allowed[int(rng.integers(len(allowed)))]])
+            elif op == "MAX_REPEAT":
+                low, high, inner = value
+                out += b"".join(some(inner) for _ in range(int(rng.integers(low, min(int(high), low + 2) + 1))))
+            elif op == "SUBPATTERN":
+                out += some(value[-1])
+            elif op == "BRANCH":
+                out += some(value[1][int(rng.integers(len(value[1])))])
+            else:
+                assert op == "ASSERT_NOT", op
+        return out
+
+    return some(re._parser.parse(pattern.pattern))
+
+
+def test_every_rule_passes_gates_and_keywords():
+    rng, scanner = np.random.default_rng(21), licenses.Scanner()
+    assert len(scanner._rules) > 600 and len(licenses.SIGNATURES) > 60
+    for rule in scanner._rules:
+        for _ in range(4):
+            text = b"some words . " + sample(rule.pattern, rng) + b" . and more"
+            assert rule.pattern.search(text), (rule.label, text)
+            kept = scanner.spans(text)
+            at = "at" if rule.pattern.groupindex else 0
+            spans = [(m.start(at), m.end(at)) for m in rule.pattern.finditer(text)]
+            assert all(any(a <= s and e <= b for a, b, _ in kept) for s, e in spans), (rule.label, text)
+
+
+def test_detections_against_brute_force():
+    """All rules on all places, suppression pair by pair, the score as a product."""
+    rng, scanner = np.random.default_rng(22), licenses.Scanner()
+    every = scanner._rules
+    for _ in range(60):
+        parts = [sample(every[int(rng.integers(len(every)))].pattern, rng) if rng.random() < 0.5 else b"plain words of text\n" for _ in range(8)]
+        text = b" \n".join(parts)
+        found = []
+        for n, r in enumerate(every):
+            at = "at" if r.pattern.groupindex else 0
+            found += [(r.priority, m.start(at) - m.end(at), m.start(at), m.end(at), n) for m in r.pattern.finditer(text)]
+        kept = []
+        for _, _, a, b, n in sorted(found):
+            if not any(s <= a and b <= e for s, e, _ in kept):
+                kept.append((a, b, every[n].label))
+        base, spans, labels, score = scanner.scan(text)
+        assert sorted(kept) == sorted((a, b, r.label) for a, b, r in spans)
+        doubt = dict.fromkeys((x for _, _, x in base), 0.4) | {label: min(1 - r.certainty for _, _, r in spans if r.label == label) for label in {x for _, _, x in kept}}
+        assert labels == sorted(doubt) and score == pytest.approx(1 - math.prod(doubt.values()) if doubt else 0.0)
+
+
+def test_expressions_give_all_terms():
+    labels = lambda text: licenses.Scanner().scan(text.lower().encode())[2]
+    assert labels("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["apache", "mit"]
+    assert labels("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause") == ["bsd-3-clause", "gpl"]
+    assert labels("wtfpl") == ["wtfpl"] and labels("psf-2.0") == ["python"] and labels("mit bsd ruby") == []
+
+
 # mixing
 
 
