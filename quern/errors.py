@@ -51,6 +51,18 @@ class ForeignKeyViolation(ConstraintViolation):
     pass
 
 
+class SerializationFailure(ServerError):
+    """Another change came first; the same work may succeed again."""
+
+
+class DeadlockDetected(SerializationFailure):
+    pass
+
+
+class LockTimeout(ServerError):
+    """A lock was not to be had in time."""
+
+
 class TransactionError(QuernError):
     """A transaction is used in a way that its state does not allow."""
 
@@ -70,5 +82,12 @@ class InvalidDataAccess(QuernError):
 def translated(error: Exception, sql: str | None = None) -> ServerError:
     """A Spark error as one of ours."""
     state = error.getSqlState() if hasattr(error, "getSqlState") else None
-    kind = {"42P01": TableDoesNotExist, "42702": AmbiguousIdentifier, "42704": AmbiguousIdentifier}.get(state or "", ServerError)
+    kind = _BY_STATE.get(state or "", ServerError)
     return kind(str(error).split("\n\n")[0], sql, state)
+
+
+#: States of the SQL standard and of Spark.
+_BY_STATE = {
+    "42P01": TableDoesNotExist, "42702": AmbiguousIdentifier, "42704": AmbiguousIdentifier,
+    "40001": SerializationFailure, "40P01": DeadlockDetected, "55P03": LockTimeout,
+}

@@ -48,8 +48,15 @@ class _Reader:
         return "".join(out)
 
 
+#: An array without nesting, escapes and blanks outside quotes, and its items: quoted or bare.
+_PLAIN = re.compile(r'\{(?:"[^"\\]*"|[^\s"\\{},]+)(?:,(?:"[^"\\]*"|[^\s"\\{},]+))*\}').fullmatch
+_ITEMS = re.compile(r'"([^"\\]*)"|([^"{},]+)').findall
+
+
 def parse_array(text: str) -> list:
     """{a,"b c",{d}} as nested lists of strings, NULL as None."""
+    if _PLAIN(text):
+        return [None if bare and bare.upper() == "NULL" else bare or quoted for quoted, bare in _ITEMS(text)]
     reader = _Reader(text.strip())
     out = _array(reader)
     if reader.at != len(reader.text):

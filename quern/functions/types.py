@@ -86,9 +86,17 @@ class Converter:
     def __init__(self, timezone: str = "UTC"):
         self.zone = ZoneInfo(timezone)
         self._own: dict[tuple[str, type], tuple[Callable, Callable]] = {}
+        self._writers: dict[str, Callable[[Any], Any]] = {}
+        self._readers: dict[str, Callable[[Any], Any]] = {}
 
     def register(self, sql_type: str, python_type: type, to_sql: Callable[[Any], Any], from_sql: Callable[[Any], Any]) -> None:
         self._own[canonical(sql_type), python_type] = (to_sql, from_sql)
+        self._writers.clear()
+        self._readers.clear()
+
+    def plain(self, value: int | str) -> bool:
+        """Whether a value is bound as it is."""
+        return not self._own and (type(value) is str or -(1 << 63) <= value < 1 << 63)
 
     def guess(self, value: Any) -> str:
         """The SQL type of a Python value."""
@@ -104,6 +112,32 @@ class Converter:
 
     def to_sql(self, value: Any, sql_type: str | None = None) -> Any:
         """A value that Spark can bind for the SQL type."""
+        if value is None:
+            return None
+        if sql_type is not None:
+            return (self._writers.get(sql_type) or self.writer(sql_type))(value)
+        return self._to_sql(value, None)
+
+    def writer(self, sql_type: str) -> Callable[[Any], Any]:
+        """to_sql for values of one type that are not null, made once."""
+        base, _, depth = split_type(sql_type)
+        whole = lambda value: self._to_sql(value, sql_type)
+        found = whole
+        if not self._own and depth == 0:
+            if base in INTEGERS:
+                top = 1 << (INTEGERS[base] - 1)
+                found = lambda value: value if type(value) is int and -top <= value < top else whole(value)
+            elif base == "uuid":
+                found = lambda value: _uuid_text(value.int) if type(value) is uuid.UUID else whole(value)
+            elif base == "varchar":
+                found = lambda value: value if type(value) is str else whole(value)
+        elif not self._own and depth == 1:
+            one = self.writer(base)
+            found = lambda value: [None if v is None else one(v) for v in value] if type(value) is list else whole(value)
+        self._writers[sql_type] = found
+        return found
+
+    def _to_sql(self, value: Any, sql_type: str | None) -> Any:
         if value is None or sql_type == "null":
             return None
         base, _, depth = split_type(sql_type or self.guess(value))
@@ -122,6 +156,41 @@ class Converter:
 
     def from_sql(self, value: Any, sql_type: str | None = None, python_type: type | None = None) -> Any:
         """A Python value of the SQL type, of python_type if that is asked for."""
+        if value is None:
+            return None
+        if python_type is None and sql_type is not None:
+            return (self._readers.get(sql_type) or self.reader(sql_type))(value)
+        return self._from_sql(value, sql_type, python_type)
+
+    def reader(self, sql_type: str) -> Callable[[Any], Any]:
+        """from_sql for values of one type that are not null, made once."""
+        base, _, depth = split_type(sql_type)
+        whole = lambda value: self._from_sql(value, sql_type)
+        found = whole
+        if not self._own and depth == 0:
+            if base in INTEGERS:
+                top = 1 << (INTEGERS[base] - 1)
+
+                def found(value: Any) -> int:
+                    if type(value) is str and value.isdecimal():
+                        value = int(value)
+                    return value if type(value) is int and -top <= value < top else whole(value)
+
+            elif base == "uuid":
+                found = lambda value: _uuid_of(value) if type(value) is str and len(value) == 36 else whole(value)
+            elif base == "varchar":
+                found = lambda value: value if type(value) is str else whole(value)
+        elif not self._own and depth == 1:
+            one = self.reader(base)
+
+            def found(value: Any) -> list:
+                items = parse_array(value) if type(value) is str else value
+                return [None if v is None else one(v) if type(v) is not list else whole(v) for v in items]
+
+        self._readers[sql_type] = found
+        return found
+
+    def _from_sql(self, value: Any, sql_type: str | None = None, python_type: type | None = None) -> Any:
         if value is None or sql_type == "null":
             return None
         if sql_type is None and python_type is None and isinstance(value, (int, float)):
@@ -239,6 +308,30 @@ class Converter:
         return parse_row(value) if isinstance(value, str) else list(value)
 
 
+def _uuid_text(number: int) -> str:
+    h = f"{number:032x}"
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+
+
+def _uuid_of(text: str) -> uuid.UUID:
+    """A uuid of 36 characters; others go the long way, which knows more forms and says what is wrong."""
+    digits = text.replace("-", "")
+    if len(digits) == 32 and digits.isalnum():
+        try:
+            number = int(digits, 16)
+        except ValueError:
+            pass
+        else:
+            out = object.__new__(uuid.UUID)
+            object.__setattr__(out, "int", number)
+            object.__setattr__(out, "is_safe", uuid.SafeUUID.unknown)
+            return out
+    try:
+        return uuid.UUID(text)
+    except ValueError as e:
+        raise TypeConversionError(f"{text!r} is no uuid") from e
+
+
 _CONVERSIONS: dict[str, Callable[[Converter, Any, str], Any]] = {
     **{name: (lambda c, v, w, bits=bits: c._integer(v, w, bits)) for name, bits in INTEGERS.items()},
     "decimal": lambda c, v, w: v if isinstance(v, Decimal) else Decimal(str(v).strip()),

@@ -838,24 +838,31 @@ def transaction_rollback(e):
 # statistics and time windows
 
 
-@query("""select 'nation' as table_name, count(*) as row_count, 3 as column_count,
-cast(sum(length(cast(n_nationkey as varchar)) + length(n_name) + length(cast(n_regionkey as varchar))) as bigint) as size_bytes from nation
-union all select 'region', count(*), 2, cast(sum(length(cast(r_regionkey as varchar)) + length(r_name)) as bigint) from region""")
+_STATISTICS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"], "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+def _sizes(columns: list[str]) -> list[str]:
+    return [f"coalesce(sum(octet_length(encode(cast({c} as varchar)))), 0)" for c in columns]
+
+
+@query(" union all ".join(f"select '{t}' as table_name, count(*) as row_count, {len(c)} as column_count, cast({' + '.join(_sizes(c))} as bigint) as size_bytes from {t}" for t, c in _STATISTICS.items()))
 def table_statistics(e):
+    """All tables but those with columns of fractions, whose texts differ between engines."""
     from quern.sources.schema import Introspector
 
-    return Introspector(e.store).table_statistics().where("table_name in ('nation', 'region')")
+    return Introspector(e.store).table_statistics(list(_STATISTICS))
 
 
-@query("""with t as (select cast(sum(length(cast(n_nationkey as varchar))) as bigint) as a, cast(sum(length(n_name)) as bigint) as b,
-cast(sum(length(cast(n_regionkey as varchar))) as bigint) as c, count(*) as n from nation)
-select 'n_nationkey' as column_name, a as total_bytes, round(a / n, 6) as average_bytes, round(a * 100 / (a + b + c), 6) as percent, 0 as nulls from t
-union all select 'n_name', b, round(b / n, 6), round(b * 100 / (a + b + c), 6), 0 from t
-union all select 'n_regionkey', c, round(c / n, 6), round(c * 100 / (a + b + c), 6), 0 from t""")
+@query(f"""with t as (select count(*) as n, {', '.join(f'cast({x} as bigint) as b{k}' for k, x in enumerate(_sizes(_STATISTICS["documents"])))},
+{', '.join(f'count(*) - count({c}) as z{k}' for k, c in enumerate(_STATISTICS["documents"]))} from documents), u as (select *, b0 + b1 + b2 + b3 + b4 as total from t)
+{' union all '.join(f"select '{c}' as column_name, b{k} as total_bytes, round(b{k} / n, 6) as average_bytes, round(b{k} * 100 / total, 6) as percent, z{k} as nulls from u" for k, c in enumerate(_STATISTICS["documents"]))}""")
 def column_statistics(e):
     from quern.sources.schema import Introspector
 
-    return Introspector(e.store).column_statistics("nation")
+    return Introspector(e.store).column_statistics("documents")
 
 
 @query("""select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end,
@@ -874,3 +881,6 @@ def window_session(e):
     from quern.streaming.windows import sessions
 
     return sessions(e.select("events").frame(), "ts", "6 hours", ["user_id"], {"n": "count(*)"})
+
+
+from quern.plans import behaviours  # noqa: E402, F401  (registers more)

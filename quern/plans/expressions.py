@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import inspect
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
@@ -47,9 +48,12 @@ class Raw(Expression):
         if not isinstance(arguments, (list, tuple)):
             arguments = [arguments]
         self.sql, self.arguments = sql, list(arguments)
+        self._written = Fragment(sql) if not self.arguments and "?" not in sql and "$$" not in sql else None
 
     def write(self, scope: Scope) -> Fragment:
-        return bind_raw(self.sql, self.arguments, scope)
+        return self._written or bind_raw(self.sql, self.arguments, scope)
+
+    operand = write
 
 
 class Identifier(Expression):
@@ -75,10 +79,13 @@ class ColumnRef(Expression):
         if not whole and "." in name:
             table, name = name.split(".", 1)
         self.name, self.table = name, table
+        own = "*" if name == "*" else quoted(name)
+        self._written = Fragment(f"{quoted(table)}.{own}" if table else own)
 
     def write(self, scope: Scope) -> Fragment:
-        name = "*" if self.name == "*" else quoted(self.name)
-        return Fragment(f"{quoted(self.table)}.{name}" if self.table else name)
+        return self._written
+
+    operand = write
 
 
 class TableRef(Expression):
@@ -114,6 +121,8 @@ class Value(Expression):
         self.value, self.sql_type = value, sql_type
 
     def write(self, scope: Scope) -> Fragment:
+        if self.sql_type is None and type(self.value) in (int, str) and scope.converter.plain(self.value):
+            return Fragment(MARK, (self.value,))
         if isinstance(self.value, (list, tuple)) and not (self.sql_type and split_type(self.sql_type)[2]):
             return Row(self.value).write(scope)
         bound = scope.converter.to_sql(self.value, self.sql_type)
@@ -192,7 +201,10 @@ class Values(Expression):
 
 
 class Cast(Expression):
-    """CAST(value AS type). A fraction is rounded on its way to an integer: a double to even, a decimal away from zero."""
+    """CAST(value AS type). A fraction is rounded on its way to an integer: a double to even, a decimal away from zero.
+
+    The operand is written once, unless it is a column, so that its values keep their places and it is evaluated once.
+    """
 
     def __init__(self, value: Any, to: str, value_type: str | None = None):
         self.value, self.to = as_value(value, value_type), to
@@ -200,10 +212,13 @@ class Cast(Expression):
     def write(self, scope: Scope) -> Fragment:
         inner, kind = self.value.operand(scope), spark_type(self.to)
         if split_type(self.to)[0] in INTEGERS and not self.to.rstrip().endswith("]"):
-            even = "cast(bround(cast(" + inner + f" as double)) as {kind})"
-            away = "cast(round(cast(" + inner + f" as decimal(38, 10))) as {kind})"
-            plain = "cast(" + inner + f" as {kind})"
-            return "case when typeof(" + inner + ") in ('double', 'float') then " + even + " when typeof(" + inner + ") like 'decimal%' then " + away + " else " + plain + " end"
+            rounded = (
+                "case when typeof({0}) in ('double', 'float') then cast(bround(cast({0} as double)) as {1}) "
+                "when typeof({0}) like 'decimal%' then cast(round(cast({0} as decimal(38, 10))) as {1}) else cast({0} as {1}) end"
+            )
+            if isinstance(self.value, ColumnRef):
+                return Fragment(rounded.format(inner.text, kind))
+            return "transform(array(" + inner + "), quern_x -> " + rounded.format("quern_x", kind) + ")[0]"
         return "cast(" + inner + f" as {kind})"
 
 
@@ -224,8 +239,10 @@ class Comparison(Expression):
         self.left, self.operator, self.right = left, operator, right
 
     def write(self, scope: Scope) -> Fragment:
-        sides = [self.left.operand(scope) if self.left else None, Fragment(self.operator), self.right.operand(scope) if self.right else None]
-        return joined(" ", (s for s in sides if s is not None))
+        left, right = self.left and self.left.operand(scope), self.right and self.right.operand(scope)
+        if left and right:
+            return Fragment(f"{left.text} {self.operator} {right.text}", left.values + right.values)
+        return left + f" {self.operator}" if left else f"{self.operator} " + right if right else Fragment(self.operator)
 
 
 class InList(Expression):
@@ -272,6 +289,68 @@ class Like(Expression):
         return self.column.operand(scope) + f" {word} " + Fragment(MARK, (self.pattern,))
 
 
+class Aggregate(Expression):
+    """An aggregate of columns or expressions: of distinct values, of the rows for which a condition holds."""
+
+    def __init__(self, name: str, *arguments: Any, distinct: bool = False, where: Expression | None = None):
+        if not re.fullmatch(r"\w+", name):
+            raise QueryError(f"{name!r} is no function")
+        self.name, self.arguments, self.distinct, self.where = name, [as_column(a) for a in arguments], distinct, where
+
+    def write(self, scope: Scope) -> Fragment:
+        inner = joined(", ", (a.operand(scope) for a in self.arguments)) if self.arguments else Fragment("*")
+        out = f"{self.name}(" + ("distinct " if self.distinct else "") + inner + ")"
+        return out if self.where is None else out + " filter (where " + self.where.write(scope) + ")"
+
+
+class Window(Expression):
+    """A function over the rows of a partition, in an order, in a frame of (unit, start, end).
+
+    Unit is rows or range; bounds are None for unbounded, 0 for the current row, below 0 before and above 0 behind it.
+    """
+
+    def __init__(self, function: Any, partition_by: Sequence[Any] = (), order_by: Sequence[Any] = (), frame: tuple[str, int | None, int | None] | None = None):
+        self.function = as_raw(function)
+        self.partition = [as_column(p) for p in partition_by]
+        self.order = [o if isinstance(o, tuple) else (o, "asc") for o in order_by]
+        self.frame = frame
+
+    @staticmethod
+    def _bound(at: int | None, unbounded: str) -> str:
+        return f"unbounded {unbounded}" if at is None else "current row" if at == 0 else f"{abs(at)} {'preceding' if at < 0 else 'following'}"
+
+    def write(self, scope: Scope) -> Fragment:
+        parts = []
+        if self.partition:
+            parts.append("partition by " + joined(", ", (p.operand(scope) for p in self.partition)))
+        if self.order:
+            items = []
+            for column, way in self.order:
+                way = str(getattr(way, "value", way)).lower()
+                if way not in ("asc", "desc"):
+                    raise QueryError(f"{way!r} is no order")
+                items.append(as_column(column).operand(scope) + f" {way} nulls {'last' if way == 'asc' else 'first'}")
+            parts.append("order by " + joined(", ", items))
+        if self.frame:
+            unit, start, end = self.frame
+            if unit not in ("rows", "range"):
+                raise QueryError(f"{unit!r} is no frame")
+            parts.append(Fragment(f"{unit} between {self._bound(start, 'preceding')} and {self._bound(end, 'following')}"))
+        return self.function.operand(scope) + " over (" + joined(" ", parts) + ")"
+
+
+class Groups(Expression):
+    """ROLLUP, CUBE or GROUPING SETS of columns."""
+
+    def __init__(self, word: str, items: Sequence[Any]):
+        self.word = word
+        self.items = [[as_column(c) for c in x] if isinstance(x, (list, tuple)) else [as_column(x)] for x in items]
+
+    def write(self, scope: Scope) -> Fragment:
+        sets = ("(" + joined(", ", (c.operand(scope) for c in item)) + ")" if item else Fragment("()") for item in self.items)
+        return f"{self.word} (" + joined(", ", sets) + ")"
+
+
 class Exists(Expression):
     def __init__(self, query: Statement, negated: bool = False):
         self.query, self.negated = query, negated

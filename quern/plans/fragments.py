@@ -14,6 +14,7 @@ if TYPE_CHECKING:
     from quern.plans.expressions import Expression
 
 
+@lru_cache(maxsize=8192)
 def quoted(name: str) -> str:
     """An identifier that Spark takes literally."""
     return "`" + name.replace("`", "``") + "`"
@@ -62,7 +63,20 @@ def joined(glue: str, parts: Iterable[Fragment]) -> Fragment:
     items = list(parts)
     if len(items) == 1:
         return items[0]
-    return Fragment(glue.join(p.text for p in items), tuple(v for p in items for v in p.values))
+    values: tuple[Any, ...] = ()
+    for p in items:
+        if p.values:
+            values += p.values
+    return Fragment(glue.join([p.text for p in items]), values)
+
+
+def glued(parts: Sequence[Fragment | str]) -> Fragment:
+    """Pieces of text and fragments, one after the other."""
+    values: tuple[Any, ...] = ()
+    for p in parts:
+        if p.__class__ is not str and p.values:
+            values += p.values
+    return Fragment("".join([p if p.__class__ is str else p.text for p in parts]), values)
 
 
 #: Quoted stretches are passed over; then ?? (a literal question mark) and ? with an optional ::type behind it.
@@ -105,16 +119,16 @@ def bind_raw(sql: str, arguments: Sequence[Any], scope: Any) -> Fragment:
     """Raw text with its placeholders filled from arguments; statements are written in place."""
     from quern.plans.expressions import Statement, Value
 
-    out, left = EMPTY, list(arguments)
+    out, left = [], list(arguments)
     for part in split_raw(sql):
         if not part.placeholder:
-            out = out + part.text
+            out.append(part.text)
             continue
         if not left:
             raise QueryError(f"Too few arguments for {sql!r}")
         value = left.pop(0)
         node: Expression = value if isinstance(value, Statement) else Value(value, part.hint)
-        out = out + node.operand(scope)
+        out.append(node.operand(scope))
     if left:
         raise QueryError(f"Too many arguments for {sql!r}")
-    return out
+    return glued(out)

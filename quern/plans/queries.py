@@ -10,9 +10,9 @@ from typing import Any
 
 from quern.errors import QueryError
 from quern.plans.expressions import (
-    ColumnRef, Expression, Raw, Scope, Statement, TableRef, Values, as_column, as_raw, as_value, called,
+    Aggregate, ColumnRef, Expression, Groups, Raw, Scope, Statement, TableRef, Values, Window, as_column, as_raw, as_value, called,
 )
-from quern.plans.fragments import EMPTY, Fragment, joined, quoted
+from quern.plans.fragments import EMPTY, Fragment, glued, joined, quoted
 from quern.plans.where import Where
 
 
@@ -47,8 +47,9 @@ class Projection:
 
     def write(self, scope: Scope) -> Fragment:
         out = self.expression.operand(scope)
-        same = isinstance(self.expression, ColumnRef) and self.expression.name in ("*", self.alias)
-        return out if self.alias is None or same else out + f" as {quoted(self.alias)}"
+        if self.alias is None or (isinstance(self.expression, ColumnRef) and self.expression.name in ("*", self.alias)):
+            return out
+        return Fragment(f"{out.text} as {quoted(self.alias)}", out.values)
 
 
 @dataclass
@@ -67,8 +68,19 @@ class Join:
     mode: JoinMode
     source: Source
     condition: Expression | None
+    using: tuple[str, ...] = ()
+    lateral: bool = False
 
     def write(self, scope: Scope) -> Fragment:
+        if self.using:
+            return f"{self.mode.value} " + self.source.write(scope) + f" using ({', '.join(map(quoted, self.using))})"
+        if self.lateral:
+            return f"{self.mode.value} lateral " + self.source.write(scope) + (" on true" if self.mode is JoinMode.LEFT else "")
+        if isinstance(self.condition, Raw):
+            return glued([self.mode.value, " ", self.source.write(scope), " on ", self.condition.write(scope)]) if self.mode.value[0] not in "nc" else self._plain(scope)
+        return self._plain(scope)
+
+    def _plain(self, scope: Scope) -> Fragment:
         bare = self.condition is None or (isinstance(self.condition, Where) and not self.condition)
         mode = JoinMode.CROSS if bare and self.mode is JoinMode.INNER else self.mode
         out = f"{mode.value} " + self.source.write(scope)
@@ -231,6 +243,18 @@ class _Filtered(Query):
         self._joins.append(Join(mode, source, condition))
         return self
 
+    def join_using(self, table: Any, columns: Sequence[str], alias: str | None = None, mode: JoinMode = JoinMode.INNER) -> Any:
+        """Rows that agree in columns of these names, which the result has once."""
+        if not columns or mode in (JoinMode.NATURAL, JoinMode.CROSS):
+            raise QueryError("A join by names needs columns, and a mode that has a condition")
+        self._joins.append(Join(mode, self._source(table, alias), None, tuple(columns)))
+        return self
+
+    def join_lateral(self, query: Any, alias: str | None = None, left: bool = False) -> Any:
+        """Each row with the rows that a query, which may name tables before it, gives for it."""
+        self._joins.append(Join(JoinMode.LEFT if left else JoinMode.CROSS, self._source(query, alias), None, lateral=True))
+        return self
+
     def join_where(self, table: Any, alias: str | None = None, mode: JoinMode = JoinMode.INNER) -> Where:
         where = Where()
         self.join(table, where, alias, mode)
@@ -256,10 +280,8 @@ class _Filtered(Query):
 
     def _write_sources(self, scope: Scope) -> Fragment:
         """Several tables are a product that WHERE narrows; Catalyst makes joins of it."""
-        out = joined(" cross join ", (s.write(scope) for s in self._from))
-        for join in self._joins:
-            out = out + " " + join.write(scope)
-        return out
+        out = joined(" cross join ", [s.write(scope) for s in self._from])
+        return joined(" ", [out, *[j.write(scope) for j in self._joins]]) if self._joins else out
 
 
 class _Returning(Query):
@@ -321,6 +343,21 @@ class Select(_Filtered):
         self._columns.append(Projection(as_value(value, sql_type), alias))
         return self
 
+    def column_aggregate(self, name: str, columns: Any = (), alias: str | None = None, distinct: bool = False, where: Any = None) -> Select:
+        """An aggregate, exact or approximate: its name as in Spark. Where is a predicate tree, or a callable that fills one."""
+        if callable(where) and not isinstance(where, Statement):
+            own = Where()
+            where = called(where, own) or own
+        columns = columns if isinstance(columns, (list, tuple)) else [columns]
+        return self.column(Aggregate(name, *columns, distinct=distinct, where=where), alias)
+
+    def column_window(
+        self, function: Any, alias: str | None = None, partition_by: Sequence[Any] = (), order_by: Sequence[Any] = (),
+        frame: tuple[str, int | None, int | None] | None = None,
+    ) -> Select:
+        """A ranking, analytic or aggregate function over a window."""
+        return self.column(Window(function, partition_by, order_by, frame), alias)
+
     def _find(self, alias: str) -> int | None:
         for k, p in enumerate(self._columns):
             if alias == p.alias or (p.alias is None and isinstance(p.expression, ColumnRef) and alias in (p.expression.name, f"{p.expression.table}.{p.expression.name}")):
@@ -352,6 +389,20 @@ class Select(_Filtered):
         self._groups.append(as_raw(sql, arguments, self))
         return self
 
+    def rollup(self, *columns: Any) -> Select:
+        """Groups by all columns, by all but the last, and so on down to none."""
+        self._groups.append(Groups("rollup", columns))
+        return self
+
+    def cube(self, *columns: Any) -> Select:
+        """Groups by each set of the columns."""
+        self._groups.append(Groups("cube", columns))
+        return self
+
+    def grouping_sets(self, *sets: Sequence[Any]) -> Select:
+        self._groups.append(Groups("grouping sets", sets))
+        return self
+
     def get_having(self) -> Where:
         return self._having
 
@@ -451,11 +502,13 @@ class Select(_Filtered):
     def _projected(self, scope: Scope) -> Fragment:
         if not self._columns:
             return self._star(scope, None) or Fragment("*")
-        return joined(", ", (self._one(p, scope) for p in self._columns))
+        if not self._groups:
+            return joined(", ", [p.write(scope) for p in self._columns])
+        return joined(", ", [self._one(p, scope) for p in self._columns])
 
     def _one(self, p: Projection, scope: Scope) -> Fragment:
         e = p.expression
-        if isinstance(e, ColumnRef) and self._groups:
+        if isinstance(e, ColumnRef) and self._groups and scope.tables is not None:
             if e.name == "*":
                 return self._star(scope, e.table) or p.write(scope)
             found = self._keyed(e.table, scope)
@@ -494,24 +547,24 @@ class Select(_Filtered):
         return joined(", ", out)
 
     def _block(self, scope: Scope) -> Fragment:
-        out = ("select distinct " if self._distinct else "select ") + self._projected(scope)
+        out: list[Fragment | str] = ["select distinct " if self._distinct else "select ", self._projected(scope)]
         if self._from:
-            out = out + " from " + self._write_sources(scope)
+            out += [" from ", self._write_sources(scope)]
         elif self._joins:
             raise QueryError("A join needs a table to join to")
         if self._where:
-            out = out + " where " + self._where.write(scope)
+            out += [" where ", self._where.write(scope)]
         if self._groups:
-            out = out + " group by " + joined(", ", (g.operand(scope) for g in self._groups))
+            out += [" group by ", joined(", ", [g.operand(scope) for g in self._groups])]
         if self._having:
-            out = out + " having " + self._having.write(scope)
+            out += [" having ", self._having.write(scope)]
         if self._orders:
-            out = out + " order by " + joined(", ", (_ordered(*o, scope) for o in self._orders))
+            out += [" order by ", joined(", ", [_ordered(*o, scope) for o in self._orders])]
         if self._limit:
-            out = out + f" limit {self._limit}"
+            out.append(f" limit {self._limit}")
         if self._offset:
-            out = out + f" offset {self._offset}"
-        return out
+            out.append(f" offset {self._offset}")
+        return glued(out)
 
     def write(self, scope: Scope) -> Fragment:
         out = self._block(scope)
@@ -519,15 +572,17 @@ class Select(_Filtered):
             out = "(" + out + ")" if self._orders or self._limit or self._offset else out
             for word, query in self._sets:
                 out = out + f" {word} " + "(" + query.write(scope) + ")"
-        return self._write_with(scope) + out
+        return self._write_with(scope) + out if self._with else out
 
     def operand(self, scope: Scope) -> Fragment:
         return "(" + self.write(scope) + ")"
 
 
 def _ordered(expression: Expression, order: Order, nulls: Nulls, scope: Scope) -> Fragment:
-    place = nulls.value or ("nulls last" if order is Order.ASC else "nulls first")
-    return expression.operand(scope) + f" {order.value} {place}"
+    return expression.operand(scope) + _DIRECTIONS[order, nulls]
+
+
+_DIRECTIONS = {(o, n): f" {o.value} {n.value or ('nulls last' if o is Order.ASC else 'nulls first')}" for o in Order for n in Nulls}
 
 
 class RawQuery(Query):
@@ -717,6 +772,22 @@ class QueryBuilder:
     def merge(self, table: Any) -> Merge:
         return Merge(table).bind(self._on)
 
+    def insert_values(self, table: Any) -> Insert:
+        """An insert that gets its rows from values()."""
+        return self.insert(table)
+
+    def insert_query(self, table: Any) -> Insert:
+        """An insert that gets its rows from query()."""
+        return self.insert(table)
+
+    def upsert_values(self, table: Any) -> Merge:
+        """A merge that gets its rows from values()."""
+        return self.merge(table)
+
+    def upsert_query(self, table: Any) -> Merge:
+        """A merge that gets its rows from query()."""
+        return self.merge(table)
+
     def raw(self, sql: str, arguments: Any = ()) -> RawQuery:
         return RawQuery(sql, arguments).bind(self._on)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from quern.errors import QueryError
 from quern.plans.expressions import (
-    Between, Comparison, Exists, Expression, InList, Like, Raw, Row, Scope, Statement, as_column, as_raw, as_value, called,
+    Between, Comparison, Exists, Expression, InList, Like, Raw, Row, Scope, Statement, Value, as_column, as_raw, as_value, called,
 )
 from quern.plans.fragments import Fragment, joined
 
-#: Operators that raw strings may name, with what Spark calls them.
+#: Operators under the names that Spark has for them. Any other is written as it is, for Spark to accept or refuse.
 OPERATORS = {
     "=": "=", "==": "=", "<>": "<>", "!=": "<>", "<": "<", "<=": "<=", ">": ">", ">=": ">=", "<=>": "<=>",
     "is distinct from": "is distinct from", "is not distinct from": "is not distinct from", "is not": "is distinct from", "is": "is not distinct from",
@@ -19,6 +20,35 @@ OPERATORS = {
 }
 
 
+#: Operators that Spark has as functions: {0} is the left side, {1} the right one.
+FUNCTIONS = {
+    "!~": "not rlike({0}, {1})", "~*": "rlike({0}, concat('(?i)', {1}))", "!~*": "not rlike({0}, concat('(?i)', {1}))",
+    "similar to": "rlike({0}, concat('^(?:', replace(replace({1}, '%', '.*'), '_', '.'), ')$'))",
+    "not similar to": "not rlike({0}, concat('^(?:', replace(replace({1}, '%', '.*'), '_', '.'), ')$'))",
+    "@>": "size(array_except({1}, {0})) = 0", "<@": "size(array_except({0}, {1})) = 0", "&&": "arrays_overlap({0}, {1})",
+    "^@": "startswith({0}, {1})",
+}
+
+
+def value_kind(values: Any) -> str:
+    """The SQL type of the elements of an array that is given as a list."""
+    kinds = {type(v) for v in values if v is not None}
+    return "bigint" if kinds == {int} else "double" if kinds and kinds <= {int, float} else "varchar"
+
+
+class Called(Expression):
+    """An operator that is a function in Spark."""
+
+    def __init__(self, form: str, left: Expression, right: Expression):
+        self.form, self.left, self.right = form, left, right
+
+    def write(self, scope: Scope) -> Fragment:
+        out, sides = Fragment(""), (self.left.operand(scope), self.right.operand(scope))
+        for part in re.split(r"(\{[01]\})", self.form):
+            out = out + (sides[int(part[1])] if part in ("{0}", "{1}") else part)
+        return out
+
+
 class Where(Expression):
     """Conditions that hold together (AND) or one by one (OR); may nest."""
 
@@ -44,7 +74,8 @@ class Where(Expression):
             return Fragment("true")
         if len(parts) == 1:
             return parts[0].operand(scope)
-        return joined(f" {self.operator} ", ("(" + p.write(scope) + ")" for p in parts))
+        inner = joined(f") {self.operator} (", [p.write(scope) for p in parts])
+        return Fragment(f"({inner.text})", inner.values)
 
     def operand(self, scope: Scope) -> Fragment:
         return "(" + self.write(scope) + ")"
@@ -56,9 +87,9 @@ class Where(Expression):
     def condition(self, column: Any, value: Any = None, operator: str = "=") -> Where:
         """A comparison; lists and queries turn = and <> into IN and NOT IN."""
         op = " ".join(operator.lower().split())
-        if op not in OPERATORS:
-            raise QueryError(f"Unknown operator {operator!r}")
-        op = OPERATORS[op]
+        if not op:
+            raise QueryError("A condition needs an operator")
+        op = OPERATORS.get(op, op)
         if (left := called(column, self)) is None and callable(column):
             return self  # the callable has added its own conditions
         if isinstance(left, Where):
@@ -73,6 +104,9 @@ class Where(Expression):
             if not isinstance(value, (list, tuple)) or len(value) != 2:
                 raise QueryError(f"{op} takes two values")
             return self._add(Between(left, *value, negated=op == "not between"))
+        if op in FUNCTIONS:
+            right = as_value(Value(value, f"{value_kind(value)}[]") if isinstance(value, (list, tuple)) else value)
+            return self._add(Called(FUNCTIONS[op], left, right))
         many = isinstance(value, (list, tuple, set, frozenset)) or getattr(value, "returns_rows", False)
         if op in ("in", "not in") or (many and op in ("=", "<>")):
             items = value if many or isinstance(value, (Row, Raw)) else [value]

@@ -70,7 +70,7 @@ def hydrated(kind: type, row: Row) -> Any:
 
 
 def expanded(values: Mapping[str, Any], separator: str = ".", drop_null_groups: bool = True) -> dict[str, Any]:
-    """Keys with separators as nested dictionaries; a group of nulls only is dropped or kept as it is."""
+    """Keys with separators as nested dictionaries; a group of nulls only becomes a null or is kept as it is."""
     out: dict[str, Any] = {}
     for key, value in values.items():
         *path, last = key.split(separator)
@@ -90,7 +90,7 @@ def _drop_nulls(values: dict[str, Any]) -> None:
     for key in [k for k, v in values.items() if isinstance(v, dict)]:
         _drop_nulls(values[key])
         if all(v is None for v in values[key].values()):
-            del values[key]
+            values[key] = None
 
 
 class Result:
@@ -107,6 +107,8 @@ class Result:
         self._hydrator: Callable[[Row], Any] | None = None
         self._key: str | None = None
         self._count: int | None = None
+        #: Times of the query, set by the engine.
+        self.profile: Any = None
 
     # setting up
     def _unlocked(self) -> None:

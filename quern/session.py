@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -21,6 +22,26 @@ from quern.sources.store import Store
 from quern.transactions import Isolation, Savepoint, Transaction
 
 
+@dataclass(frozen=True)
+class SessionConfiguration:
+    """What a session of an engine is set to: its time zone, current database and settings of Spark."""
+
+    timezone: str = "UTC"
+    database: str | None = None
+    settings: Mapping[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class Profile:
+    """Seconds that a query took to become a DataFrame, and to run as far as executing it runs it; text and plan if asked for."""
+
+    identifier: str | None
+    prepare: float
+    execute: float
+    sql: str | None = None
+    plan: str | None = None
+
+
 def _own_session(spark: SparkSession) -> SparkSession:
     """A session with the settings and views that the given one has now, and names of its own from then on."""
     return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
@@ -35,15 +56,22 @@ class Engine(QueryBuilder):
 
     supports_returning = True
 
-    def __init__(self, spark: SparkSession, timezone: str = "UTC", root: str | None = None):
+    def __init__(self, spark: SparkSession, timezone: str = "UTC", root: str | None = None, configuration: SessionConfiguration | None = None):
         super().__init__(self)
+        self.configuration = configuration or SessionConfiguration(timezone)
+        timezone = self.configuration.timezone
         self.spark = spark
         self.session = _own_session(spark)
         self.converter = Converter(timezone)
         self.store = Store(self.session, root)
         self.scope = Scope(self.converter, self.store)
         self.transaction: Transaction | None = None
+        if self.configuration.database:
+            self.session.catalog.setCurrentDatabase(self.configuration.database)
+        for key, value in self.configuration.settings.items():
+            self.session.conf.set(key, value)
         self._prepared: dict[str, Prepared] = {}
+        self._watching: list[Callable[[Profile], None]] = []
         self.timings: dict[str, float] = {}
 
     @classmethod
@@ -95,14 +123,22 @@ class Engine(QueryBuilder):
     def execute(self, query: Any, arguments: Any = None, options: Mapping[str, Any] | None = None) -> Result:
         """The result of a query; a change that returns no rows gives an empty one that knows how many rows it touched.
 
-        Options: class or hydrator (what rows become), types (by column), key (column), rewindable.
+        Options: class or hydrator (what rows become), types (by column), key (column), rewindable, debug (the result has the SQL text and
+        Spark's plan beside its profile).
         """
         if isinstance(query, Prepared):
             query = query.built()
         options = {**getattr(query, "options", {}), **(options or {})}
         began = time.perf_counter()
+        self.timings.clear()
         result = self._guarded(lambda: self._execute(query, arguments, options))
-        self.timings["execute"] = time.perf_counter() - began
+        self.timings["execute"] = time.perf_counter() - began - self.timings.setdefault("prepare", 0.0)
+        result.profile = Profile(getattr(query, "identifier", None), self.timings["prepare"], self.timings["execute"])
+        if options.get("debug") and result.frame is not None:
+            result.profile.sql = query if isinstance(query, str) else query.write(self.scope).text if isinstance(query, (Select, RawQuery, Raw, Values)) else None
+            result.profile.plan = result.frame._jdf.queryExecution().toString()
+        for told in self._watching:
+            told(result.profile)
         if hydrator := options.get("class") or options.get("hydrator"):
             result.hydrate(hydrator)
         if options.get("key"):
@@ -119,6 +155,10 @@ class Engine(QueryBuilder):
         outcome = dml.run(self, query, arguments)
         return Result(outcome.frame, self.converter, outcome.affected, types)
 
+    def watch(self, told: Callable[[Profile], None]) -> None:
+        """Calls back with the profile of each query that is executed from now on."""
+        self._watching.append(told)
+
     def perform(self, query: Any, arguments: Any = None, options: Mapping[str, Any] | None = None) -> int:
         """Runs a query for its number of rows."""
         return self.execute(query, arguments, options).count_rows()

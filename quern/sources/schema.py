@@ -115,10 +115,10 @@ class Introspector:
         return TableMetadata(self.current_database(), schema, plain, table.comment, columns, primary, own, back)
 
     # statistics
-    def table_statistics(self) -> DataFrame:
-        """table_name, row_count, column_count, size_bytes: rows are counted by Spark, one scan a table."""
+    def table_statistics(self, names: list[str] | None = None) -> DataFrame:
+        """table_name, row_count, column_count, size_bytes of all or the named tables: rows are counted by Spark, one scan a table."""
         frames = []
-        for name in sorted(self._store.tables):
+        for name in sorted(self._store.get(n).name for n in (names or self._store.tables)):
             frame = self._store.frame(name)
             size = F.sum(reduce(lambda a, b: a + b, (_bytes(frame, c) for c in frame.columns)))
             frames.append(

@@ -108,6 +108,7 @@ class Store:
         self.versions: dict[str, Version] = {}
         self._pending: dict[str, str] = {}
         self._loaded: dict[str, Version] = {}
+        self._paths: dict[str, str] = {}
         self._serials: dict[tuple[str, str], int] = {}
         self.deferred: set[str] | None = set()  # names of constraints that wait for commit; None: all that can
 
@@ -163,7 +164,13 @@ class Store:
 
     def declare(self, name: str, path: str) -> None:
         """A Parquet table that is read when a statement first names it; changes keep those of its files that they don't touch."""
-        self._pending[name] = path
+        self._pending[name] = self._paths[name] = path
+
+    def source(self, name: str, kind: str, path: str | None = None, schema: str | None = None, **options: Any) -> Table:
+        """A table of any format that Spark reads: csv, json, orc, text, jdbc with url and dbtable, and so on."""
+        reader = self.spark.read.format(kind).options(**options)
+        reader = reader.schema(schema) if schema else reader
+        return self.register(name, reader.load(path) if path else reader.load())
 
     def load(self, name: str) -> None:
         if (path := self._pending.pop(name, None)) is not None:
@@ -219,6 +226,10 @@ class Store:
         del self.tables[name], self.versions[name]
         self.forget(name)
 
+    def path_of(self, name: str) -> str | None:
+        """Where a declared table is read from."""
+        return self._paths.get(name)
+
     def find(self, name: str) -> Table | None:
         self.load(name)
         return self.tables.get(name)

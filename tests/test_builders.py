@@ -86,9 +86,11 @@ def test_where_tree():
     assert text(Where().is_in("a", [])) == "false" and text(Where().is_not_in("a", [])) == "true"
     assert text(Where().condition("a", 1, "in")) == "`a` in (?)"
     assert text(Where().condition("a", "x", "is not")) == "`a` is distinct from ?"
+    assert text(Where().condition("a", "x", "!<")) == "`a` !< ?"
+    assert text(Where().condition("a", "x", "!~")) == "not rlike(`a`, ?)"
 
 
-@pytest.mark.parametrize("act", [lambda w: w.condition("a", 1, "is null"), lambda w: w.condition("a", [1], "between"), lambda w: w.condition("a", 1, "drop"), lambda w: w.close()])
+@pytest.mark.parametrize("act", [lambda w: w.condition("a", 1, "is null"), lambda w: w.condition("a", [1], "between"), lambda w: w.condition("a", 1, " "), lambda w: w.close()])
 def test_where_errors(act):
     with pytest.raises(QueryError):
         act(Where())

@@ -91,7 +91,7 @@ def test_hydration(table):
 
 
 def test_groups():
-    assert expanded({"a.b.c": 1, "a.d": 2, "e": 3, "n.x": None}) == {"a": {"b": {"c": 1}, "d": 2}, "e": 3}
+    assert expanded({"a.b.c": 1, "a.d": 2, "e": 3, "n.x": None}) == {"a": {"b": {"c": 1}, "d": 2}, "e": 3, "n": None}
     assert expanded({"n__x": None}, "__", drop_null_groups=False) == {"n": {"x": None}}
 
 

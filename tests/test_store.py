@@ -1,11 +1,15 @@
 """Changes, constraints and transactions on stored tables."""
 
+import os
+
 import pytest
 
 from quern.errors import (
     AmbiguousIdentifier, ForeignKeyViolation, NotNullViolation, QueryError, TableDoesNotExist, TransactionError, TransactionFailed, UniqueViolation,
 )
 from quern.plans.expressions import ColumnRef, Raw, Values
+from quern.session import Engine
+from tests.conftest import DATA
 
 
 @pytest.fixture
@@ -264,3 +268,95 @@ def test_run_transaction(ledger):
     with pytest.raises(ZeroDivisionError):
         ledger.run_transaction(lambda e: add(e, 9, "i") or 1 / 0)
     assert size(ledger) == 4 and ledger.transaction is None
+
+
+# engines and files
+
+
+def test_engines_know_their_own_tables(spark):
+    small, large = (Engine.over(spark, DATA.replace("sf0.001", sf), ["customer", "nation"]) for sf in ("sf0.001", "sf0.01"))
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("customer")
+    count = lambda e: e.execute("select count(*) from customer").fetch_field()
+    try:
+        a, b = count(small), count(large)
+        assert a < b and count(small) == a
+        assert large.delete("customer").where("c_custkey", 10, "<").perform() == 10
+        assert (count(small), count(large)) == (a, b - 10)
+        small.update("nation").set("n_name", "here").where("n_nationkey", 1).perform()
+        assert "here" not in large.select("nation").column("n_name").execute().fetch_column()
+        large.store.create("a.b", {"x": "int"})
+        large.store.create("a__b", {"y": "int"})
+        large.insert("a.b").values([1]).perform()
+        assert large.select("a.b").execute().column_names() == ["x"] and large.select("a__b").execute().count_rows() == 0
+        assert spark.table("customer").columns == ["a"]
+        root = large.store.root
+        for e in (small, large):
+            e.store.close()
+            assert {t.name for t in e.session.catalog.listTables() if t.isTemporary} <= {t.name for t in spark.catalog.listTables()}
+        assert not os.path.exists(root.removeprefix("file:"))
+    finally:
+        spark.catalog.dropTempView("customer")
+
+
+@pytest.fixture
+def parts(engine, spark, tmp_path):
+    """A table of four files, one with a blank in its path."""
+    path = str(tmp_path / "some folder.parquet")
+    spark.range(4000).selectExpr("id", "id % 7 as g", "cast(id as string) as t").repartitionByRange(4, "id").write.parquet(path)
+    engine.store.declare("parts", path)
+    engine.store.load("parts")
+    engine.store.constrain("parts", primary_key=("id",))
+    return engine
+
+
+def test_changes_write_the_files_that_they_touch(parts):
+    store = parts.store
+    before = set(store.versions["parts"].files)
+    assert len(before) == 4
+    assert parts.update("parts").set("t", "new").where("id", 5).perform() == 1
+    kept = before & set(store.versions["parts"].files)
+    assert len(kept) == 3
+    assert parts.delete("parts", "p").join(Values([[3990], [3991]], ["k"]), "v.k = p.id", "v").perform() == 2
+    assert len(before & set(store.versions["parts"].files)) == 2
+    assert parts.merge("parts").on_conflict_update("id").columns(["id", "t"]).values([1500, "m"]).values([9000, "n"]).perform() == 2
+    assert len(before & set(store.versions["parts"].files)) == 1
+    assert parts.insert("parts").values([9001, 1, "i"]).perform() == 1
+    found = {r["id"]: (r["g"], r["t"]) for r in parts.select("parts").execute()}
+    assert len(found) == 4000 and found[5] == (5, "new") and found[1500] == (1500 % 7, "m") and found[9000] == (None, "n") and 3990 not in found
+    assert parts.update("parts").set("t", "none").where("id", -1).perform() == 0
+
+
+def test_random_changes_are_evaluated_once(parts):
+    q = parts.update("parts").set("t", Raw("'hit'")).where_expression("rand() < 0.3")
+    touched = q.perform()
+    assert touched == parts.select("parts").where("t", "hit").execute().count_rows() and 800 < touched < 1600
+    found = parts.delete("parts").where_expression("rand() < 0.2").returning("id").execute().fetch_column()
+    assert parts.select("parts").execute().count_rows() == 4000 - len(found) and parts.select("parts").where("id", found).execute().count_rows() == 0
+
+
+def test_small_changes_do_not_shuffle_the_table(parts, monkeypatch):
+    plans = []
+    within = parts.store.within
+
+    def seen(rows, keys):
+        out = within(rows, keys)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(parts.store, "within", seen)
+    parts.insert("parts").values([8000, 1, "x"]).perform()
+    parts.update("parts").set("id", 8001).where("id", 8000).perform()
+    with pytest.raises(UniqueViolation):
+        parts.insert("parts").values([17, 1, "x"]).perform()
+    assert len(plans) == 3
+    for plan in plans:
+        assert "BroadcastHashJoin" in plan and "ReadSchema: struct<id:bigint>" in plan
+        above = plan.split("BroadcastExchange")[0]
+        assert "Exchange" not in above
+
+
+def test_columns_named_like_words_keep_the_one_pass_form(engine):
+    engine.store.create("picks", {"id": "int", "selected": "boolean"})
+    engine.insert("picks").columns(["id", "selected"]).values([1, True]).values([2, False]).perform()
+    assert engine.update("picks").set("id", Raw("id + 10")).where("selected", True).perform() == 1
+    assert sorted(engine.select("picks").column("id").execute().fetch_column()) == [2, 11]
