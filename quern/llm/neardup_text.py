@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.common import bounded_batches, discard, fresh, lean, slices, small_side, stored
 from quern.llm.count_tree import count_vector, forest, groups_for
@@ -138,27 +139,27 @@ def _verified(percent: int) -> Callable[..., np.ndarray]:
     return join
 
 
-def _meetings(join: Callable[..., np.ndarray]):
-    """Links of rows (group, chunk, side, label, digest, size, payload), a meeting being the rows of a group and chunk."""
+def _meetings(join: Callable[..., np.ndarray], kind: pa.DataType):
+    """What rows (group, chunk, side, label, digest, size, payload) are joined to, a meeting being the rows of a group and chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            a, b = zip(*out, strict=True) if out else ((), ())
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.binary(), pa.binary()), strict=True)], ["group", "a", "b"])
 
-        for _, _, side, label, digest, size, payload in runs(batches, 2):
+        for group, _, side, label, digest, size, payload in runs(batches, 2):
             if len(digest) > 1:
                 joined = np.unique(np.array(label, dtype=object), return_inverse=True)[1]
                 sides = np.array(side) if len(set(side)) > 1 else None
                 component = join(sides, joined, size, payload)
                 if len(np.unique(component)) < len(np.unique(joined)):
                     least: dict[int, bytes] = {}
-                    for c, d in zip(component.tolist(), digest, strict=True):
+                    for c, d in zip(component.tolist(), label, strict=True):
                         least[c] = min(d, least.get(c, d))
-                    out += [(d, least[c]) for c, d in zip(component.tolist(), digest, strict=True) if d != least[c]]
+                    out += {(group[0], d, least[c]) for c, d in zip(component.tolist(), label, strict=True) if d != least[c]}
             if len(out) > 20_000:
                 yield flush()
         yield flush()
@@ -167,42 +168,44 @@ def _meetings(join: Callable[..., np.ndarray]):
 
 
 def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarray], chunk: int | None = None) -> DataFrame:
-    """a, b: links that join what join() joins among the members of each group, as a star for each component that meets.
+    """a, b: links that join what join() joins among the members of each group.
 
     Members has group, digest, chunks (how many the group needs); payload has digest, size, payload, once for each digest.
+    A label is the smallest digest of the members that have been joined, and so one of them.
     """
     chunk = chunk or CHUNK
+    kind = members.schema["group"].dataType
 
     def meet(rows: DataFrame) -> DataFrame:
         rows = rows.join(payload, "digest").select("group", "chunk", "side", "label", "digest", "size", "payload")
         rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk")
-        return stored(rows.mapInArrow(lean(_meetings(join)), "a binary, b binary"), "links")
+        return stored(rows.mapInArrow(lean(_meetings(join, to_arrow_type(kind))), f"group {kind.simpleString()}, a binary, b binary"), "links")
 
-    def relabelled(held: DataFrame, links: DataFrame) -> DataFrame:
-        """Members of the groups that have more than one label, with these."""
-        found = held.join(components(links.join(held.select(F.col("digest").alias("a")).distinct(), "a", "left_semi")).withColumnRenamed("id", "digest"), "digest", "left")
-        found = found.select("group", "digest", F.coalesce("component", "digest").alias("label"))
-        many = found.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
-        return stored(found.join(many, "group", "left_semi"), "held")
+    def relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
+        """Members of the groups that have more than one label still, with these."""
+        new = held.join(found.select("group", F.col("a").alias("label"), "b").distinct(), ["group", "label"], "left").select("group", "digest", F.coalesce("b", "label").alias("label"))
+        many = new.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+        return stored(new.join(many, "group", "left_semi"), "held")
 
     def dealt(chunks: Column, salt: int) -> Column:
         return F.pmod(F.xxhash64("digest", F.lit(salt)), chunks).cast("long")
 
-    alone = [F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"]
-    links = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), *alone))
-    held = members.where("chunks > 1").select("group", "digest")
+    found = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"))
+    links = found.select("a", "b")
+    held = members.where("chunks > 1").select("group", "digest", F.col("digest").alias("label"))
     if held.isEmpty():
         return links
-    held, before = relabelled(held, links), None
+    held, before = relabelled(held, found), None
     while True:  # one member of each component of a group, dealt anew
-        first = held.groupBy("group", "label").agg(F.min("digest").alias("digest"))
+        first = held.select("group", "label").distinct()
         each = first.groupBy("group").agg(F.count("*").alias("n"))
         left = each.agg(F.sum("n")).first()[0]
         if not left or (before and 2 * left > before):
             break
-        first = first.join(each, "group").select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest")
-        links, before = links.unionByName(meet(first)), left
-        held = relabelled(held, links)
+        first = first.join(each, "group").withColumn("digest", F.col("label"))
+        found = meet(first.select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest"))
+        links, before = links.unionByName(found.select("a", "b")), left
+        held = relabelled(held, found)
     if not left:
         return links
     # members of different components: a large component has chunks of its own, small ones share chunks
@@ -218,7 +221,7 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
     left_side = pairs.select("group", "owner", "number", "chunk", F.lit(0).alias("side"))
     right_side = pairs.where("owner <> owner2 or number <> number2").select("group", F.col("owner2").alias("owner"), F.col("number2").alias("number"), "chunk", F.lit(1).alias("side"))
     rows = held.join(left_side.unionByName(right_side), ["group", "owner", "number"])
-    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest")))
+    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest")).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
