@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import BROADCAST_ROWS, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,29 +16,28 @@ def components(edges: DataFrame) -> DataFrame:
     rounds are joins and partially aggregated minima over tables in the shared folder. Loops and repeated links are
     harmless; ids may be of any orderable type and are not null.
     """
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    labels = stored(nodes.select("id", F.col("id").alias("component")), "labels")
-    links = edges
-    while True:
-        links = stored(
-            links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-        )
-        hooks = stored(links.groupBy("a").agg(F.min("b").alias("b")), "hooks")
-        if hooks.isEmpty():
-            return labels
+
+    def oriented(links: DataFrame) -> DataFrame:
+        return stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("component"))
+    links = oriented(edges)
+    while n := links.count():
+        small = n <= BROADCAST_ROWS  # hooks are no more than links
+        hooks = links.groupBy("a").agg(F.min("b").alias("b"))
         while True:  # each hook jumps to where its target is hooked
             to = hooks.select(F.col("a").alias("b"), F.col("b").alias("_to"))
-            jumped = hooks.join(to, "b", "left")
+            jumped = hooks.join(F.broadcast(to) if small else to, "b", "left")
             hooks = stored(jumped.select("a", F.coalesce("_to", "b").alias("b"), F.col("_to").isNotNull().alias("moved")), "hooks")
             if hooks.where("moved").isEmpty():
                 break
             hooks = hooks.select("a", "b")
         to = hooks.select(F.col("a").alias("_from"), F.col("b").alias("_to"))
-        labels = stored(
-            labels.join(to, F.col("component") == F.col("_from"), "left").select("id", F.coalesce("_to", "component").alias("component")),
-            "labels",
-        )
-        links = (
+        to = F.broadcast(to) if small else to
+        labels = labels.join(to, F.col("component") == F.col("_from"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+        labels = stored(labels, "labels")
+        links = oriented(
             links.join(to, F.col("a") == F.col("_from"), "left").select(F.coalesce("_to", "a").alias("a"), "b")
             .join(to, F.col("b") == F.col("_from"), "left").select("a", F.coalesce("_to", "b").alias("b"))
         )
+    return labels

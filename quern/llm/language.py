@@ -265,14 +265,14 @@ def train(docs: DataFrame, training: Column, path: str | None = None) -> tuple[l
     return languages, np.stack([fitted.get(x, wordless) for x in languages], axis=1)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
-    """All columns of docs with lang_pred and lang_score beside them, in place of columns of these names."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None, columns: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of docs with prediction and score beside them, in place of columns of these names."""
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(*columns)
     path = path or default_vocabulary()
     languages = model[0]
     chances = docs.sparkSession.sparkContext.broadcast(model[1])  # bounded by vocabulary and MAX_LANGUAGES
-    names = [*docs.columns, "lang_pred", "lang_score"]
+    names = [*docs.columns, *columns]
     text = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lean(predict), f"{shape}, lang_pred string, lang_score double")
+    return docs.mapInArrow(lean(predict), f"{shape}, `{columns[0]}` string, `{columns[1]}` double")
 
 
 def remainder(doc_id: Column) -> Column:

@@ -159,7 +159,7 @@ def _meetings(join: Callable[..., np.ndarray], kind: pa.DataType):
                     least: dict[int, bytes] = {}
                     for c, d in zip(component.tolist(), label, strict=True):
                         least[c] = min(d, least.get(c, d))
-                    out += {(group[0], d, least[c]) for c, d in zip(component.tolist(), label, strict=True) if d != least[c]}
+                    out += {(group[0], d, least[c]): None for c, d in zip(component.tolist(), label, strict=True) if d != least[c]}.keys()
             if len(out) > 20_000:
                 yield flush()
         yield flush()
@@ -183,7 +183,7 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
 
     def relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
         """Members of the groups that have more than one label still, with these."""
-        new = held.join(found.select("group", F.col("a").alias("label"), "b").distinct(), ["group", "label"], "left").select("group", "digest", F.coalesce("b", "label").alias("label"))
+        new = held.join(small_side(found.select("group", F.col("a").alias("label"), "b")), ["group", "label"], "left").select("group", "digest", F.coalesce("b", "label").alias("label"))
         many = new.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
         return stored(new.join(many, "group", "left_semi"), "held")
 
@@ -197,9 +197,9 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
         return links
     held, before = relabelled(held, found), None
     while True:  # one member of each component of a group, dealt anew
-        first = held.select("group", "label").distinct()
+        first = stored(held.select("group", "label").distinct(), "labels")
         each = first.groupBy("group").agg(F.count("*").alias("n"))
-        left = each.agg(F.sum("n")).first()[0]
+        left = first.count()
         if not left or (before and 2 * left > before):
             break
         first = first.join(each, "group").withColumn("digest", F.col("label"))
@@ -213,7 +213,8 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
     small = counts.groupBy("group").agg(F.sum(F.when(F.col("n") < chunk, F.col("n")).otherwise(0)).alias("rest"))
     owner = F.when(F.col("n") >= chunk, F.col("label")).otherwise(F.lit(b""))
     number = F.when(F.col("n") >= chunk, dealt(F.ceil(F.col("n") / chunk), 2)).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / chunk)))
-    held = stored(held.join(counts.join(small, "group"), ["group", "label"]).select("group", "label", "digest", owner.alias("owner"), number.alias("number")), "owned")
+    counts = small_side(stored(counts.join(small, "group"), "label-sizes"))
+    held = stored(held.join(counts, ["group", "label"]).select("group", "label", "digest", owner.alias("owner"), number.alias("number")), "owned")
     one = held.select("group", "owner", "number").distinct()
     two = one.select("group", F.col("owner").alias("owner2"), F.col("number").alias("number2"))
     apart = (F.col("owner") < F.col("owner2")) | ((F.col("owner") == b"") & (F.col("owner2") == b"") & (F.col("number") <= F.col("number2")))
@@ -263,7 +264,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     )
     classes = stored(_classes(units, percent).join(units.select(F.col("digest").alias("id"), "least", "n"), "id"), "classes")
     weight = classes.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8).alias("bytes"))
-    weight = stored(weight.select("component", _chunks().alias("chunks")), "class-sizes")
+    weight = small_side(stored(weight.select("component", _chunks().alias("chunks")), "class-sizes"))
     members = stored(classes.join(weight, "component").select(F.col("component").alias("group"), F.col("id").alias("digest"), "least", "chunks"), "class-members")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     found = components(linked(members.select("group", "digest", "chunks"), sets, _verified(percent))).withColumnRenamed("id", "digest")
     discard(sets)
     member = stored(units.select("digest", "least").join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "members")
-    least = stored(member.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    least = small_side(stored(member.groupBy("component").agg(F.min("least").alias("component_id")), "least"))
     each = stored(member.join(least, "component").select("digest", "component", "component_id"), "each")
     joined = rows.select("doc_id", "text_hash", "n", "digest").join(each, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -306,9 +307,10 @@ def _classes(units: DataFrame, percent: int) -> DataFrame:
     same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)]
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), *same)
     shared = stored(shared.where("members > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "subtrees")
-    held = stored(keyed.join(shared, "key"), "subtree-members")
+    held = stored(keyed.join(small_side(shared), "key"), "subtree-members")
     discard(keyed)
     vectors = units.select("digest", F.col("n").alias("size"), F.col("vec").alias("payload"))
     weight = held.join(units.select("digest", F.length("vec").alias("w")), "digest").groupBy("key").agg(F.count("*").alias("members"), F.sum("w").alias("bytes"))
-    members = stored(held.join(weight.select("key", _chunks().alias("chunks")), "key").select(F.col("key").alias("group"), "digest", "chunks"), "tree-members")
+    weight = small_side(stored(weight.select("key", _chunks().alias("chunks")), "subtree-sizes"))
+    members = stored(held.join(weight, "key").select(F.col("key").alias("group"), "digest", "chunks"), "tree-members")
     return components(linked(members, vectors, _bound(percent)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import language, licenses, mixing, neardup_text, neardup_vectors, packing, token_files, topk, url_filter, warc
+from quern.llm.common import stored
 from quern.llm.count_tree import Tree, count_vector, forest, groups_for, needed
 from quern.llm.graph import components
 from quern.llm.shingles import shingle_sets
@@ -174,6 +175,28 @@ def test_pipeline_keeps_short_documents(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 100, 101]
 
 
+def test_pipeline_edges(spark, docs, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, columns with clashing names."""
+    import corpus_pipeline
+
+    rows_ = [(k, f"the cat number {k} sat on the mat and saw another dog", "en", f"s{k % 3}") for k in range(30)]
+    rows_ += [rows_[0], rows_[0], (None, "the cat has no number at all but sits here with us", None, None), (40, None, None, None), (41, "", "en", "s1"), (42, "12 !!", None, "s1")]
+    rows_ += [(43, LONG, None, "s2"), (44, rows_[1][1], "de", "s0"), (45, "zzz", None, None)]
+    every = clash(docs(*rows_))
+    at = every
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = stage(spark, at, "")
+        assert at.columns == every.columns
+        at = stored(at, "stage")
+    ids = [r["doc_id"] for r in at.collect()]
+    assert not {40, 41, 42} & set(ids) and max(map(ids.count, ids)) <= 2
+    packed = corpus_pipeline.packed(spark, at, "")
+    assert {r["doc_id"] for r in packed.collect()} == set(ids)
+    folder = str(tmp_path / "empty")
+    docs().write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 # similar documents
 
 
@@ -721,6 +744,23 @@ def test_copies_are_expected_in_proportion(spark):
         assert np.abs(mean / 1500 - 0.4).max() < 0.06
 
 
+def test_neighbours_on_the_curve_share_sequences(spark, docs):
+    rng = np.random.default_rng(31)
+    words = [f"word{k}" for k in range(3000)]
+    data = []
+    for group in range(60):
+        base = [words[int(k)] for k in rng.integers(0, 3000, 60)]
+        for copy in range(6):
+            own = base.copy()
+            own[int(rng.integers(60))] = "changed"
+            data.append((copy * 60 + group, " ".join(own)))  # copies lie far apart by doc_id
+    found = {}
+    for r in packing.pack(docs(*data)).collect():
+        found.setdefault(r["doc_id"] % 60, set()).add(r["sequence_id"])
+    spread = np.mean([len(x) for x in found.values()])
+    assert len(set.union(*found.values())) > 15 and spread < 4  # at random nearly 6
+
+
 # url filters
 
 
