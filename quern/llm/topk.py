@@ -31,6 +31,8 @@ from quern.llm.common import bounded_batches, lean, stored
 SCALE = 256
 #: Candidates that a shard holds on average, candidates that are scored together, dimensions probed together.
 SHARD, ROWS, PROBED = 8192, 2048, 16
+#: A posting list of one candidate in so many, or more, has a place for each candidate.
+DENSE = 8
 #: Queries in a block on average, and blocks that meet a shard in one task, for the first shard alone and for all.
 QUERIES, FIRST_BLOCKS, BLOCKS = 64, 4, 256
 _EXACT = 1 << 53
@@ -60,16 +62,25 @@ class Shard:
             self.weights[k, : len(x) // 8] = np.frombuffer(x, "<f8")
         self.low, self.high = self.weights.min(axis=0, initial=0), self.weights.max(axis=0, initial=0)
         self.top = np.abs(self.weights).max(initial=0)
-        self._cuts = np.arange(0, len(ids) + ROWS, ROWS)
-        self._lists = {sign: [self._list(sign * self.weights[:, d] > 0, d) for d in range(width)] for sign in (1, -1)}
+        self._across = np.ascontiguousarray(self.weights.T)
+        #: Posting lists by sign and dimension: as places, weights and where each block begins; or, of those that hold a good part of the
+        #: candidates, as a row of weights with zeros between.
+        self._sparse: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, list[int]]] = {}
+        self._dense = {sign: np.zeros((width, len(ids))) for sign in (1, -1)}
+        self._sizes = {sign: np.zeros((width, len(range(0, len(ids), ROWS))), dtype=np.int64) for sign in (1, -1)}
+        cuts = np.arange(0, len(ids) + ROWS, ROWS)
+        for sign in (1, -1):
+            for d in range(width):
+                places = np.flatnonzero(sign * self.weights[:, d] > 0)
+                begins = np.searchsorted(places, cuts)[: self._sizes[sign].shape[1] + 1]
+                self._sizes[sign][d] = np.diff(begins)
+                if DENSE * len(places) < len(ids):
+                    self._sparse[sign, d] = places, self.weights[places, d], begins.tolist()
+                else:
+                    self._dense[sign][d, places] = self.weights[places, d]
         #: Postings that queries have traversed, and that the lists they could have used hold.
         self.traversed = self.listed = 0
 
-    def _list(self, there: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Places, weights, and where each block begins."""
-        places = np.flatnonzero(there)
-        return places, self.weights[places, d], np.searchsorted(places, self._cuts).tolist()
-
     def best(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
         """(score, id) of the k best, best first; those below floor may be left out."""
         if not len(self.ids):
@@ -82,22 +93,25 @@ class Shard:
         bound = np.maximum(q * self.low, q * self.high)
         order = np.argsort(bound, kind="stable")
         sums = np.concatenate([[0.0], np.cumsum(bound[order])])  # what the lists of smallest bounds add at most
-        lists = [self._lists[1 if q[d] > 0 else -1][d] if bound[d] > 0 else None for d in range(width)]
-        self.listed += sum(len(x[0]) for x in lists if x)
+        signs = np.where(bound > 0, np.sign(q), 0).astype(np.int64)
+        self.listed += sum(int(self._sizes[sign][signs == sign].sum()) for sign in (1, -1))
         scores, ids, threshold = np.zeros(0), np.zeros(0, dtype=np.int64), floor
         for n, a in enumerate(range(0, len(self.ids), ROWS)):
             split = int(np.searchsorted(sums, threshold, side="left")) - 1  # the first split lists are non-essential
             gains = np.zeros(min(ROWS, len(self.ids) - a))
-            met = np.full(len(gains), split < 0)  # a score of nothing but losses may enter
-            split = max(0, split)
-            for d in order[split:].tolist():
-                if lists[d]:
-                    places, weights, cuts = lists[d]
+            every, split = split < 0, max(0, split)  # at first a score of nothing but losses may enter
+            essential = order[split:]
+            for sign in (1, -1):
+                dims = essential[signs[essential] == sign]
+                thin = [d for d in dims.tolist() if (sign, d) in self._sparse]
+                wide = dims if not thin else np.array([d for d in dims.tolist() if (sign, d) not in self._sparse], dtype=np.int64)
+                gains += q[wide] @ self._dense[sign][:, a : a + ROWS][wide]
+                for d in thin:
+                    places, weights, cuts = self._sparse[sign, d]
                     here = slice(cuts[n], cuts[n + 1])
-                    at = places[here] - a
-                    gains[at] += q[d] * weights[here]
-                    met[at] = True
-                    self.traversed += len(at)
+                    gains[places[here] - a] += q[d] * weights[here]
+                self.traversed += int(self._sizes[sign][dims, n].sum())
+            met = np.ones(len(gains), dtype=bool) if every else gains > 0  # products of an essential list are above 0
             met &= (gains + sums[split] >= threshold) & (self.ids[a : a + ROWS] != query_id)
             rows = np.flatnonzero(met)
             rows, found = self._probe(a + rows, gains[rows], q, bound, order, split, threshold)
@@ -116,14 +130,16 @@ class Shard:
         can_gain = np.where(gained, 0.0, bound)
         can_lose = np.minimum(q * self.low, q * self.high)
         telling = np.argsort(can_lose - can_gain, kind="stable")
+        first, end = (int(rows[0]), int(rows[-1]) + 1) if len(rows) else (0, 0)
         left = np.concatenate([np.cumsum(can_gain[telling][::-1])[::-1], [0.0]])
         for at in range(0, len(q), PROBED):
             if not len(rows):
                 break
             dims = telling[at : at + PROBED]
-            product = self.weights[rows[:, None], dims] * q[dims]
-            product[:, gained[dims]] = np.minimum(product[:, gained[dims]], 0.0)
-            partial = partial + product.sum(axis=1)
+            product = self._across[dims, first:end] * q[dims, None]
+            product = product if len(rows) == end - first else product[:, rows - first]
+            np.minimum(product, 0.0, out=product, where=gained[dims, None])
+            partial = partial + product.sum(axis=0)
             alive = partial + left[min(len(q), at + PROBED)] >= threshold
             rows, partial = rows[alive], partial[alive]
         return rows, partial
