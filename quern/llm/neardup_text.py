@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import bounded_batches, discard, fresh, lean, slices, small_side, stored
+from quern.llm.common import bounded_batches, discard, fresh, lean, ranges_for, slices, small_side, stored
 from quern.llm.count_tree import count_vector, forest, groups_for
 from quern.llm.graph import components
 from quern.llm.shingles import grouped_sets
@@ -41,8 +41,8 @@ from quern.llm.shingles import grouped_sets
 KEYS, SKETCH = 32, 64
 #: Shingles in about this many of every HOT_SAMPLE-th unit's sketches are frequent; at most MAX_HOT of them are told apart.
 HOT_SAMPLE, HOT_COUNT, MAX_HOT = 8, 48, 500_000
-#: Members and bytes of a chunk, about.
-CHUNK, CHUNK_BYTES = 1024, 8 << 20
+#: Members and bytes of a chunk, about, and rows of chunks that a task gets.
+CHUNK, CHUNK_BYTES, TASK_ROWS = 512, 8 << 20, 20_000
 
 
 def _sketches():
@@ -176,9 +176,11 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
     chunk = chunk or CHUNK
     kind = members.schema["group"].dataType
 
-    def meet(rows: DataFrame) -> DataFrame:
+    def meet(rows: DataFrame, n: int) -> DataFrame:
         rows = rows.join(payload, "digest").select("group", "chunk", "side", "label", "digest", "size", "payload")
-        rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk")
+        # by rows and not by bytes, since a row costs more than its bytes tell
+        parts = max(ranges_for(rows.sparkSession, None), n // TASK_ROWS)
+        rows = rows.repartition(parts, "group", "chunk").sortWithinPartitions("group", "chunk")
         return stored(rows.mapInArrow(lean(_meetings(join, to_arrow_type(kind))), f"group {kind.simpleString()}, a binary, b binary"), "links")
 
     def relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
     def dealt(chunks: Column, salt: int) -> Column:
         return F.pmod(F.xxhash64("digest", F.lit(salt)), chunks).cast("long")
 
-    found = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"))
+    found = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"), members.count())
     links = found.select("a", "b")
     held = members.where("chunks > 1").select("group", "digest", F.col("digest").alias("label"))
     if held.isEmpty():
@@ -203,7 +205,7 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
         if not left or (before and 2 * left > before):
             break
         first = first.join(each, "group").withColumn("digest", F.col("label"))
-        found = meet(first.select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest"))
+        found = meet(first.select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest"), left)
         links, before = links.unionByName(found.select("a", "b")), left
         held = relabelled(held, found)
     if not left:
@@ -222,7 +224,7 @@ def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarra
     left_side = pairs.select("group", "owner", "number", "chunk", F.lit(0).alias("side"))
     right_side = pairs.where("owner <> owner2 or number <> number2").select("group", F.col("owner2").alias("owner"), F.col("number2").alias("number"), "chunk", F.lit(1).alias("side"))
     rows = held.join(left_side.unionByName(right_side), ["group", "owner", "number"])
-    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest")).select("a", "b"))
+    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest"), 2 * held.count()).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
