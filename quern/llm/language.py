@@ -182,7 +182,7 @@ def runs_of(token: str) -> list[str]:
 class Scorer:
     """Predicts texts; remembers the likelihoods of a bounded number of tokens."""
 
-    def __init__(self, languages: list[str], chances: np.ndarray, pieces: Pieces, remembered: int = 200_000):
+    def __init__(self, languages: list[str], chances: np.ndarray, pieces: Pieces, remembered: int = 120_000):
         self._languages, self._chances, self._pieces = languages, chances, pieces
         self._limit = min(remembered, TABLE_BYTES // (8 * len(languages) + 8))
         self._forget()

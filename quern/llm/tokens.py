@@ -13,7 +13,7 @@ END_ID = 1
 _MARK = "\x01"
 _TAIL = ".,!?;:"
 _LATIN = "\u0250"  # before it, lower-case letters are single code points in NFC
-_GROUP = 2_000_000  # characters of text whose new words are encoded together
+_GROUP = 1_000_000  # characters of text whose new words are encoded together
 
 
 def default_tokenizer() -> str:
@@ -42,7 +42,7 @@ class WordEncoder:
     text. Other tokenizers encode each text directly.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
