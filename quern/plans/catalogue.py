@@ -419,8 +419,10 @@ def join_where(e):
 
 @query("select a.p_partkey as x, b.p_partkey as y from part a join part b on a.p_size < b.p_size and b.p_size <= a.p_size + 1 and a.p_brand = b.p_brand")
 def join_theta(e):
-    on = "a.p_size < b.p_size and b.p_size <= a.p_size + 1 and a.p_brand = b.p_brand"
-    return e.select("part", "a").column("a.p_partkey", "x").column("b.p_partkey", "y").join("part", on, "b")
+    # Sizes are whole numbers, so the one size above a's and no further than 1 is a key to join by beside the brand; past the largest, try_add gives null and no pair.
+    # Pairs outnumber parts by far: sorted and merged they are spread by key, where a broadcast leaves them to the one or two tasks that scan a small file.
+    on = "b.p_size = try_add(a.p_size, 1) and a.p_size < b.p_size and b.p_size <= a.p_size + 1 and a.p_brand = b.p_brand"
+    return e.select("part", "a").column("a.p_partkey", "x").column("b.p_partkey", "y").join("part", on, "b").hint("merge", "a", "b")
 
 
 @query("select c.c_custkey, t.n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) t on t.o_custkey = c.c_custkey")

@@ -319,6 +319,7 @@ class Select(_Filtered):
         self._orders: list[tuple[Expression, Order, Nulls]] = []
         self._limit = self._offset = 0
         self._sets: list[tuple[str, Expression]] = []
+        self._hints: list[str] = []
         self._distinct = self._perform_only = False
         self.locked_for_update = False
         if table is not None:
@@ -475,6 +476,13 @@ class Select(_Filtered):
         return self._set("except", query)
 
     # execution flags
+    def hint(self, name: str, *aliases: str) -> Select:
+        """Advice for Spark's planner, such as how to join tables of these aliases; the rows are the same without it."""
+        if not name.isidentifier():
+            raise QueryError(f"{name!r} is no name of a hint")
+        self._hints.append(name + (f"({', '.join(map(quoted, aliases))})" if aliases else ""))
+        return self
+
     def for_update(self) -> Select:
         """Kept as a flag: a snapshot store takes no row locks."""
         self.locked_for_update = True
@@ -547,7 +555,7 @@ class Select(_Filtered):
         return joined(", ", out)
 
     def _block(self, scope: Scope) -> Fragment:
-        out: list[Fragment | str] = ["select distinct " if self._distinct else "select ", self._projected(scope)]
+        out: list[Fragment | str] = ["select ", f"/*+ {', '.join(self._hints)} */ " if self._hints else "", "distinct " if self._distinct else "", self._projected(scope)]
         if self._from:
             out += [" from ", self._write_sources(scope)]
         elif self._joins:

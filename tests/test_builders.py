@@ -180,3 +180,11 @@ def test_rows_and_values():
     assert text(Select("t").group_by("a").column_expression("count(*)", "n").having(Raw("count(*)"), 2, ">").order_by("a")) == (
         "select count(*) as `n` from `t` as `t` group by `a` having count(*) > ? order by `a` asc nulls last"
     )
+
+
+def test_hints():
+    query = Select("a", "x y").join("b", "b.k = `x y`.k", "b").hint("merge", "x y", "b").hint("rebalance")
+    assert text(query).startswith("select /*+ merge(`x y`, `b`), rebalance */ * from")
+    assert text(Select("a").column("k").hint("rebalance").distinct()) == "select /*+ rebalance */ distinct `k` from `a` as `a`"
+    with pytest.raises(QueryError):
+        query.hint("merge(b) */ 1 --")

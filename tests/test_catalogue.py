@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pandas as pd
@@ -51,3 +52,15 @@ def test_plans_push_down_and_prune(spark):
     product = catalogue.QUERIES["multi_from"](engine)._jdf.queryExecution().executedPlan().toString()
     assert "HashJoin" in product and "Cartesian" not in product
     assert "TakeOrderedAndProject" in catalogue.QUERIES["top_k"](engine)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_theta_join_has_size_as_key(spark, tmp_path):
+    sizes = [None, -1, 0, 1, 1, 2, 2, 4, 5, -(2**31), -(2**31) + 1, 2**31 - 2, 2**31 - 1, 2**31 - 1]
+    parts = [(k, brand, size) for k, (brand, size) in enumerate((b, s) for b in ("A", "B", None) for s in sizes)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    frame = catalogue.QUERIES["join_theta"](catalogue.Engine.over(spark, str(tmp_path), ["part"]))
+    linked = [(x, y) for x, b, s in parts for y, c, t in parts if None not in (b, s, t) and b == c and s < t <= s + 1]
+    assert len(linked) == 2 * 11 and sorted(map(tuple, frame.collect())) == sorted(linked)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    keys = re.search(r"SortMergeJoin \[(.*?)\], \[(.*?)\], Inner", plan)
+    assert keys and all("p_size" in k and "p_brand" in k for k in keys.groups()), plan
