@@ -63,6 +63,25 @@ def test_memory_is_bounded():
     assert len(own._known) <= 500
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aestrvlmd'É0 5.,!\n\x0bñßơ_<", max_size=60), max_size=5), st.sampled_from(["", "× x", "<|endoftext|>", "\u0249\u0250", "H\u0331", "a\xa0b"]))
+def test_pieces_of_plain_texts(texts, other):
+    own, texts = encoder(default_tokenizer()), [*texts, other, "it's 'sure we''re'll " + "they've" * 30, *texts]
+    direct = own._tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in direct]
+
+
+def test_new_words_are_merged_together():
+    """Plain words that were never met cost no call of the library each, and none of them is remembered."""
+    own, rng = WordEncoder(default_tokenizer()), np.random.default_rng(5)
+    parts = ["the", "on", "é", "qu", "x", "ing", "zz", "er", "ção", "Th", "a"]
+    words = ["".join(rng.choice(parts, int(n))) + tail for n, tail in zip(rng.integers(1, 9, 5000), ["", ",", "'s", "7.", "!?"] * 1000, strict=True)]
+    want = [own._tokenizer.encode(x, add_special_tokens=False).ids for x in words]
+    own._model = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(words)] == want
+    assert own.encode([" ".join(words)]) == [b"".join(own.encode(words))] and len(own._known) == 1
+
+
 # language
 
 
