@@ -11,9 +11,10 @@
    intersection, pairs already joined being skipped. The links found join to components.
 
 A subtree or class is dealt into chunks of bounded rows and bytes, so no task holds a whole large group, and no link is lost:
-chunks are joined alone; then one member of each component of a chunk meets those of other chunks, until that joins no more; then
+chunks are joined alone; then one member of each component of a group meets those of others, until that joins no more; then
 only members of different components are left to meet, chunk by chunk. So a large group of like documents costs about as much as
-its rows, and not their square. Shingles with the same members are one subtree.
+its rows, and not their square. What one group joins is joined in all: like documents stand under many shingles, dealt otherwise
+under each, and so their subtrees are mostly done after the first meeting. Shingles with the same members are one subtree.
 
 Defined cases. Null, empty or blank text: an empty set, n_shingles 0, alone in its component. Fewer than five words: one shingle of all of
 them. Rows that repeat a doc_id or a text are linked by their equal sets. A null doc_id is never a component's
@@ -28,12 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import bounded_batches, discard, fresh, lean, ranges_for, slices, small_side, stored
+from quern.llm.common import BROADCAST_ROWS, bounded_batches, discard, fresh, lean, ranges_for, slices, small_side, stored
 from quern.llm.count_tree import count_vector, forest, groups_for
 from quern.llm.graph import components
 from quern.llm.shingles import grouped_sets
@@ -43,6 +44,8 @@ KEYS, SKETCH = 32, 64
 HOT_SAMPLE, HOT_COUNT, MAX_HOT = 8, 48, 500_000
 #: Members and bytes of a chunk, about, and rows of chunks that a task gets.
 CHUNK, CHUNK_BYTES, TASK_ROWS = 512, 8 << 20, 20_000
+#: Rows of chunks, with their labels and digests, up to which they are broadcast: some 25 MB.
+WIDE_ROWS = 200_000
 
 
 def _sketches():
@@ -72,9 +75,12 @@ def _keys(frequent: Broadcast, percent: int):
         for batch in batches:
             for piece in slices(batch, 4096):
                 out_keys, out_units = [], []
-                for row, n, sketch in zip(range(piece.num_rows), piece.column(1).to_pylist(), piece.column(2), strict=True):
-                    keys = sketch.values.to_numpy()
-                    here = np.isin(keys, hot, assume_unique=True) if len(hot) else np.zeros(len(keys), dtype=bool)
+                flat = piece.column(2).flatten().to_numpy()
+                among = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat if len(hot) else np.zeros(len(flat), dtype=bool)
+                ends = np.cumsum(pc.list_value_length(piece.column(2)).to_numpy())
+                for row, n, end in zip(range(piece.num_rows), piece.column(1).to_pylist(), ends.tolist(), strict=True):
+                    place = slice(end - min(n, SKETCH), end)
+                    keys, here = flat[place], among[place]
                     if not here.any():
                         keys = keys[: min(KEYS, n - -(-percent * n // 100) + 1)]
                     elif here.sum() <= 0.3 * len(keys):
@@ -85,7 +91,8 @@ def _keys(frequent: Broadcast, percent: int):
                     out_units.append(np.full(len(keys), row))
                 if out_keys:
                     rows = np.concatenate(out_units)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), piece.column(0).take(pa.array(rows))], ["key", "digest"])
+                    places = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), piece.column(0).take(places), piece.column(3).take(places)], ["key", "digest", "bytes"])
 
     return read
 
@@ -139,18 +146,18 @@ def _verified(percent: int) -> Callable[..., np.ndarray]:
     return join
 
 
-def _meetings(join: Callable[..., np.ndarray], kind: pa.DataType):
+def _meetings(join: Callable[..., np.ndarray]):
     """What rows (group, chunk, side, label, digest, size, payload) are joined to, a meeting being the rows of a group and chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        out: dict[tuple[bytes, bytes], None] = {}
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            columns = list(zip(*out, strict=True)) if out else [(), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.binary(), pa.binary()), strict=True)], ["group", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
-        for group, _, side, label, digest, size, payload in runs(batches, 2):
+        for _, _, side, label, digest, size, payload in runs(batches, 2):
             if len(digest) > 1:
                 joined = np.unique(np.array(label, dtype=object), return_inverse=True)[1]
                 sides = np.array(side) if len(set(side)) > 1 else None
@@ -159,7 +166,7 @@ def _meetings(join: Callable[..., np.ndarray], kind: pa.DataType):
                     least: dict[int, bytes] = {}
                     for c, d in zip(component.tolist(), label, strict=True):
                         least[c] = min(d, least.get(c, d))
-                    out += {(group[0], d, least[c]): None for c, d in zip(component.tolist(), label, strict=True) if d != least[c]}.keys()
+                    out |= {(d, least[c]): None for c, d in zip(component.tolist(), label, strict=True) if d != least[c]}
             if len(out) > 20_000:
                 yield flush()
         yield flush()
@@ -168,63 +175,66 @@ def _meetings(join: Callable[..., np.ndarray], kind: pa.DataType):
 
 
 def linked(members: DataFrame, payload: DataFrame, join: Callable[..., np.ndarray], chunk: int | None = None) -> DataFrame:
-    """a, b: links that join what join() joins among the members of each group.
+    """id, component: what join() joins among the members of each group, directly or not, and the smallest digest of it.
 
     Members has group, digest, chunks (how many the group needs); payload has digest, size, payload, once for each digest.
-    A label is the smallest digest of the members that have been joined, and so one of them.
+    A label is the smallest digest of what has been joined, in this group or another.
     """
     chunk = chunk or CHUNK
-    kind = members.schema["group"].dataType
 
     def meet(rows: DataFrame, n: int) -> DataFrame:
-        rows = rows.join(payload, "digest").select("group", "chunk", "side", "label", "digest", "size", "payload")
+        rows = payload.join(F.broadcast(rows) if n <= WIDE_ROWS else rows, "digest").select("group", "chunk", "side", "label", "digest", "size", "payload")
         # by rows and not by bytes, since a row costs more than its bytes tell
         parts = max(ranges_for(rows.sparkSession, None), n // TASK_ROWS)
         rows = rows.repartition(parts, "group", "chunk").sortWithinPartitions("group", "chunk")
-        return stored(rows.mapInArrow(lean(_meetings(join, to_arrow_type(kind))), f"group {kind.simpleString()}, a binary, b binary"), "links")
-
-    def relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
-        """Members of the groups that have more than one label still, with these."""
-        new = held.join(small_side(found.select("group", F.col("a").alias("label"), "b")), ["group", "label"], "left").select("group", "digest", F.coalesce("b", "label").alias("label"))
-        many = new.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
-        return stored(new.join(many, "group", "left_semi"), "held")
+        return stored(rows.mapInArrow(lean(_meetings(join)), "a binary, b binary"), "links")
 
     def dealt(chunks: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64("digest", F.lit(salt)), chunks).cast("long")
+        return F.pmod(F.xxhash64("group", "digest", F.lit(salt)), chunks).cast("long")
 
-    found = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), F.lit(0).alias("side"), F.col("digest").alias("label"), "digest"), members.count())
-    links = found.select("a", "b")
+    one_side = F.lit(0).alias("side")
+    found = meet(members.select("group", dealt(F.col("chunks"), 0).alias("chunk"), one_side, F.col("digest").alias("label"), "digest"), members.count())
+    joined = components(found)
     held = members.where("chunks > 1").select("group", "digest", F.col("digest").alias("label"))
     if held.isEmpty():
-        return links
-    held, before = relabelled(held, found), None
-    while True:  # one member of each component of a group, dealt anew
-        first = stored(held.select("group", "label").distinct(), "labels")
-        each = first.groupBy("group").agg(F.count("*").alias("n"))
-        left = first.count()
-        if not left or (before and 2 * left > before):
+        return joined
+    links, new, before = joined.select(F.col("id").alias("a"), F.col("component").alias("b")), joined, held.count()
+    while True:  # one member of each component of a group, dealt anew, as long as that halves what is left
+        new = small_side(new.select(F.col("id").alias("label"), "component"))
+        held = stored(held.join(new, "label", "left").select("group", "digest", F.coalesce("component", "label").alias("label")), "held")
+        labels = stored(held.groupBy("group", "label").agg(F.count("*").alias("n"), F.min("digest").alias("digest")), "labels")
+        # groups with more than one label still, and their members in components of less than a chunk
+        several = labels.groupBy("group").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < chunk, F.col("n")).otherwise(0)).alias("rest"))
+        several = small_side(stored(several.where("labels > 1"), "several"))
+        held, labels = held.join(several.select("group"), "group"), labels.join(several, "group")
+        left = labels.count()
+        if not left:
+            return components(links)
+        if 2 * left > before:
+            break
+        found = meet(labels.select("group", dealt(F.ceil(F.col("labels") / chunk), 1).alias("chunk"), one_side, "label", "digest"), left)
+        if found.isEmpty():
             break
-        first = first.join(each, "group").withColumn("digest", F.col("label"))
-        found = meet(first.select("group", dealt(F.ceil(F.col("n") / chunk), 1).alias("chunk"), F.lit(0).alias("side"), "label", "digest"), left)
-        links, before = links.unionByName(found.select("a", "b")), left
-        held = relabelled(held, found)
-    if not left:
-        return links
+        links, new, before = links.unionByName(found), components(found), left
     # members of different components: a large component has chunks of its own, small ones share chunks
-    counts = held.groupBy("group", "label").agg(F.count("*").alias("n"))
-    small = counts.groupBy("group").agg(F.sum(F.when(F.col("n") < chunk, F.col("n")).otherwise(0)).alias("rest"))
-    owner = F.when(F.col("n") >= chunk, F.col("label")).otherwise(F.lit(b""))
-    number = F.when(F.col("n") >= chunk, dealt(F.ceil(F.col("n") / chunk), 2)).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / chunk)))
-    counts = small_side(stored(counts.join(small, "group"), "label-sizes"))
-    held = stored(held.join(counts, ["group", "label"]).select("group", "label", "digest", owner.alias("owner"), number.alias("number")), "owned")
-    one = held.select("group", "owner", "number").distinct()
-    two = one.select("group", F.col("owner").alias("owner2"), F.col("number").alias("number2"))
+    large, own, shared = F.col("n") >= chunk, F.ceil(F.col("n") / chunk), F.ceil(F.col("rest") / chunk)
+    owner = F.when(large, F.col("label")).otherwise(F.lit(b"")).alias("owner")
+    number = F.when(large, dealt(own, 2)).otherwise(F.pmod(F.xxhash64("label"), shared)).alias("number")
+    counts = labels.select("group", "label", "n", "rest")
+    held = held.join(F.broadcast(counts) if left <= BROADCAST_ROWS else counts, ["group", "label"]).select("group", "label", "digest", owner, number)
+
+    def numbers(chunks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)).alias("number")
+
+    one = labels.where(large).select("group", owner, numbers(own)).unionByName(several.where("rest > 0").select("group", F.lit(b"").alias("owner"), numbers(shared)))
+    two = small_side(one.select("group", F.col("owner").alias("owner2"), F.col("number").alias("number2")))
     apart = (F.col("owner") < F.col("owner2")) | ((F.col("owner") == b"") & (F.col("owner2") == b"") & (F.col("number") <= F.col("number2")))
     pairs = stored(one.join(two, "group").where(apart).withColumn("chunk", F.monotonically_increasing_id()), "chunk-pairs")
-    left_side = pairs.select("group", "owner", "number", "chunk", F.lit(0).alias("side"))
+    left_side = pairs.select("group", "owner", "number", "chunk", one_side)
     right_side = pairs.where("owner <> owner2 or number <> number2").select("group", F.col("owner2").alias("owner"), F.col("number2").alias("number"), "chunk", F.lit(1).alias("side"))
-    rows = held.join(left_side.unionByName(right_side), ["group", "owner", "number"])
-    return links.unionByName(meet(rows.select("group", "chunk", "side", "label", "digest"), 2 * held.count()).select("a", "b"))
+    rows = held.join(small_side(left_side.unionByName(right_side)), ["group", "owner", "number"])
+    rows = stored(rows.select("group", "chunk", "side", "label", "digest"), "pair-members")
+    return components(links.unionByName(meet(rows, rows.count())))
 
 
 def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -278,11 +288,11 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["digest", "size", "payload"])
 
     # only texts that stand for a unit of a class are read again
-    chosen = small_side(stored(members.select("least").distinct(), "chosen"))
+    chosen = small_side(members.select("least"))
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = texts.mapInArrow(lean(again), "digest binary, size long, payload binary").groupBy("digest").agg(F.first(F.struct("size", "payload")).alias("s"))
     sets = stored(sets.select("digest", "s.*"), "sets")
-    found = components(linked(members.select("group", "digest", "chunks"), sets, _verified(percent))).withColumnRenamed("id", "digest")
+    found = linked(members.select("group", "digest", "chunks"), sets, _verified(percent)).withColumnRenamed("id", "digest")
     discard(sets)
     member = stored(units.select("digest", "least").join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "members")
     least = small_side(stored(member.groupBy("component").agg(F.min("least").alias("component_id")), "least"))
@@ -304,15 +314,14 @@ def _classes(units: DataFrame, percent: int) -> DataFrame:
         .groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(MAX_HOT).collect()
     )
     frequent = units.sparkSession.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot), dtype=np.int64))  # 4 MB at most
-    keyed = stored(units.select("digest", "n", "keys").mapInArrow(lean(_keys(frequent, percent)), "key long, digest binary"), "keys")
+    vectors = units.select("digest", F.col("n").alias("size"), F.col("vec").alias("payload"))
+    keyed = units.select("digest", "n", "keys", F.length("vec").cast("long").alias("bytes"))
+    keyed = stored(keyed.mapInArrow(lean(_keys(frequent, percent)), "key long, digest binary, bytes long"), "keys")
     # two hashes of the set of members: shingles with the same members are one subtree
     same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), *same)
-    shared = stored(shared.where("members > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "subtrees")
-    held = stored(keyed.join(small_side(shared), "key"), "subtree-members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"), *same).where("members > 1")
+    shared = shared.groupBy("members", "bytes", "x0", "x1").agg(F.min("key").alias("key"))
+    shared = small_side(stored(shared.select("key", _chunks().alias("chunks")), "subtrees"))
+    members = stored(keyed.join(shared, "key").select(F.col("key").alias("group"), "digest", "chunks"), "tree-members")
     discard(keyed)
-    vectors = units.select("digest", F.col("n").alias("size"), F.col("vec").alias("payload"))
-    weight = held.join(units.select("digest", F.length("vec").alias("w")), "digest").groupBy("key").agg(F.count("*").alias("members"), F.sum("w").alias("bytes"))
-    weight = small_side(stored(weight.select("key", _chunks().alias("chunks")), "subtree-sizes"))
-    members = stored(held.join(weight, "key").select(F.col("key").alias("group"), "digest", "chunks"), "tree-members")
-    return components(linked(members, vectors, _bound(percent)))
+    return linked(members, vectors, _bound(percent))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm import language, licenses, mixing, neardup_text, neardup_vectors, packing, token_files, topk, url_filter, warc
+from quern.llm import graph, language, licenses, mixing, neardup_text, neardup_vectors, packing, token_files, topk, url_filter, warc
 from quern.llm.common import stored
 from quern.llm.count_tree import Tree, count_vector, forest, groups_for, needed
 from quern.llm.graph import components
@@ -335,6 +335,35 @@ def test_near_copies_of_a_very_long_text_take_little_memory():
     assert len(set(joined.tolist())) == 1 and peak < 100e6
 
 
+def test_joined_in_one_group_is_joined_in_all(spark, monkeypatch):
+    """Two subtrees of the same 60 like members, each in chunks: one meeting joins all of them, and none of them meets again."""
+    tables = []
+    monkeypatch.setattr(neardup_text, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    digests = [bytes([k]) * 16 for k in range(60)]
+    members = spark.createDataFrame([(g, d, 3) for g in range(6) for d in digests], "group long, digest binary, chunks long")
+    vector = np.full(16, 2, dtype=np.uint8).tobytes()
+    payload = spark.createDataFrame([(d, 32, vector) for d in digests], "digest binary, size long, payload binary")
+    found = neardup_text.linked(members, payload, neardup_text._bound(75), 20)
+    assert {(bytes(r["id"]), bytes(r["component"])) for r in found.collect()} == {(d, digests[0]) for d in digests}
+    assert tables.count("links") == 1 and "pair-members" not in tables
+
+
+@pytest.mark.parametrize("few", [100_000, 20, 0])
+def test_few_links_are_joined_at_once(spark, monkeypatch, few):
+    """The same components by one task, by rounds, and by rounds that leave the rest to one task."""
+    tables = []
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    monkeypatch.setattr(graph, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    order = np.random.default_rng(3).permutation(60).tolist()
+    edges = [(bytes([a]), bytes([b])) for a, b in zip(order[:30], order[1:30], strict=False)] + [(bytes([a]), bytes([b])) for a, b in zip(order[30:], order[31:], strict=False)]
+    edges += [(b"z", b"z"), edges[0], edges[0][::-1]]
+    found = {bytes(r["id"]): bytes(r["component"]) for r in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    wanted = {bytes([k]): bytes([min(part)]) for part in (order[:30], order[30:]) for k in part}
+    assert found == wanted | {b"z": b"z"}
+    assert len(tables) == 1 if few > 100 else "hooks" in tables
+    assert ("components" in tables) == (few > 0)
+
+
 def test_bounds():
     assert int(needed(np.array(10), np.array(10), 75)) == 9 and int(needed(np.array(4), np.array(3), 75)) == 3
     assert [len(s) for s in shingle_sets([b"", b"  ", b"a", b"a b c d e", b"a b c d e f", b"a a a a a a a"])] == [0, 0, 1, 1, 2, 1]
